@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixture, ogg, pieces, quality, rules
+from . import langid, mixture, ogg, pieces, quality, rules, set_join, style_tree, suffix_dedup, token_shards
 from .common import Scratch
 
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -28,6 +28,15 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs.select("doc_id", "text"), model).select("doc_id", held_out(), "score", "predicted")
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return set_join.join(table(spark, sf_dir, "documents"), Scratch(spark, "set-join"), size=4, percent=85)
+
+
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.dedup(docs, Scratch(spark, "suffixes")).drop("text")
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: number of ids, a digest of them, whether decoding gives the text back."""
     model = pieces.read_model(f"{TOKENIZERS}/piece_bpe_32k.model")
@@ -35,6 +44,16 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"), "round_trip")
 
 
+def op5_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records as the written shards hold them: slot, shard, document, place in it, ids used, and the ids' CRC-32."""
+    layout = token_shards.write(table(spark, sf_dir, "documents"), Scratch(spark, "token-shards").root)
+    return token_shards.read(spark, layout).select("slot", "shard", "doc_id", "seq_no", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return style_tree.extract(table(spark, sf_dir, "pages"), Scratch(spark, "style-tree")).select("page_id", "url", "text", "n_chars")
+
+
 def op7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixture.mix(table(spark, sf_dir, "documents"), Scratch(spark, "mixture"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
@@ -57,7 +76,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_quality_classifier, op4_sentencepiece, op7_mixture, op8_quality_rules, op9_ogg_media, op10_language_id]
+    own = [op1_quality_classifier, op2_ngram_jaccard, op3_suffix_dedup, op4_sentencepiece, op5_token_shards, op6_html_extraction, op7_mixture, op8_quality_rules, op9_ogg_media, op10_language_id]
     return {f.__name__: f for f in own}
 
 
