@@ -51,7 +51,9 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, per_class: int) -> dict[
     for kind in (0, 1):
         share = F.when(F.col("quality") == kind, F.lit(min(1.0, 1.1 * per_class / max(counts.get(kind, 0), 1)))).otherwise(share)
     chosen = marked.where(F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(1_000_003)) < share * 1_000_003)
-    rows = docs.select("doc_id", "text").where("text is not null and text <> ''").join(chosen, "doc_id").select("doc_id", "quality", "text").collect()
+    # The sample's bound makes it fit for a broadcast; a sort-merge join would shuffle every text.
+    few = F.broadcast(chosen.select("doc_id", "quality").limit(4 * per_class))
+    rows = docs.select("doc_id", "text").where("text is not null and text <> ''").join(few, "doc_id").select("doc_id", "quality", "text").collect()
     out: dict[int, list[str]] = {0: [], 1: []}
     for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"])):
         out[r["quality"]].append(r["text"])
