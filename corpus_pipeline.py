@@ -13,15 +13,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalog.llm import mixture, pieces, quality, set_join, suffix_dedup
-from stratalog.llm.common import Scratch
+from stratalog.llm.common import Scratch, if_small
 
 MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 
 
+def set_aside(docs: DataFrame, names: list[str]) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with columns of these names renamed, and how to name them back: a stage's own results may have the same names."""
+    back = {f"_own_{c}": c for c in names if c in docs.columns}
+    return docs.withColumnsRenamed({c: k for k, c in back.items()}), back
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression classifier rejects go."""
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score(docs, model).where("predicted = 1").select(*docs.columns)
+    mine, back = set_aside(docs, ["score", "predicted"])
+    return quality.score(mine, model).where("predicted = 1").drop("score", "predicted").withColumnsRenamed(back).select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,16 +36,17 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     scratch = Scratch(spark, "near-duplicates")
     groups = set_join.join(docs, scratch, size=5, percent=80)
     extra = scratch.save(groups.where("doc_id <> component_id").select("doc_id"), "extra")
-    return docs.join(extra, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(if_small(extra), "doc_id", "left_anti").select(*docs.columns)
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 200 bytes or more that occur elsewhere are cut out; documents of nothing else go."""
-    out = suffix_dedup.dedup(docs, Scratch(spark, "suffixes"), with_text=True)
+    mine, back = set_aside(docs, suffix_dedup.MADE)
+    out = suffix_dedup.dedup(mine, Scratch(spark, "suffixes"), with_text=True)
     out = out.where("not (n_removed > 0 and kept_text = '')").withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    return out.drop(*suffix_dedup.MADE).withColumnsRenamed(back).select(*docs.columns)
 
 
 def mixture_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -46,6 +46,15 @@ class Scratch:
         jvm.System.gc()
 
 
+#: Rows of a few numbers each that a broadcast may hold: some 10 MB.
+BROADCAST_ROWS = 400_000
+
+
+def if_small(df: DataFrame) -> DataFrame:
+    """A saved table of a few numbers a row, for broadcast if its counted rows allow it; a larger one is shuffled."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, mix64, mix_int, partitions, pieces, utf8
+from .common import Scratch, components, if_small, mix64, mix_int, partitions, pieces, utf8
 from .shingles import WordHasher, shingle_sets
 
 BYTES = 1 << 20  # text bytes worked on at once
@@ -223,19 +223,31 @@ def fold(sketch: np.ndarray, words: int) -> np.ndarray:
     return sketch
 
 
-def gaps(one: bytes, n: int, many: list[bytes], sizes: np.ndarray, percent: int) -> np.ndarray:
-    """Lower bounds of the symmetric differences with one set; -1 where the pair can't be linked."""
-    out = np.full(len(many), -1, dtype=np.int64)
-    fit = 100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n)
-    a = np.frombuffer(one, dtype=np.uint64)
-    length = np.array([len(x) // 8 for x in many])
-    for words in np.unique(length[fit]):
-        own = np.flatnonzero(fit & (length == words))
-        b = np.frombuffer(b"".join(many[i] for i in own), dtype=np.uint64).reshape(len(own), words)
-        w = min(len(a), int(words))
-        gap = np.bitwise_count(fold(a, w)[None, :] ^ fold(b, w)).sum(1, dtype=np.int64)
-        out[own] = np.where(gap <= most_errors(sizes[own] + n, percent), gap, -1)
-    return out
+class Sketches:
+    """Sets of one bucket, their sketches in a matrix for each length."""
+
+    def __init__(self, sketches: list[bytes], sizes: np.ndarray, percent: int):
+        self.sizes, self.percent, self.raw = sizes, percent, sketches
+        length = np.array([len(x) // 8 for x in sketches])
+        self.groups = []
+        for words in np.unique(length):
+            own = np.flatnonzero(length == words)
+            self.groups.append((own, np.frombuffer(b"".join(sketches[i] for i in own), dtype=np.uint64).reshape(len(own), words)))
+
+    def gaps(self, sketch: bytes, n: int, wanted: np.ndarray) -> np.ndarray:
+        """Lower bounds of the symmetric differences with one set; -1 where the pair isn't wanted or can't be linked."""
+        out = np.full(len(self.sizes), -1, dtype=np.int64)
+        fit = wanted & (100 * np.minimum(self.sizes, n) >= self.percent * np.maximum(self.sizes, n))
+        a = np.frombuffer(sketch, dtype=np.uint64)
+        for own, matrix in self.groups:
+            on = fit[own]
+            if not on.any():
+                continue
+            own, rows = own[on], matrix[on]
+            w = min(len(a), rows.shape[1])
+            gap = np.bitwise_count(fold(a, w)[None, :] ^ fold(rows, w)).sum(1, dtype=np.int64)
+            out[own] = np.where(gap <= most_errors(self.sizes[own] + n, self.percent), gap, -1)
+        return out
 
 
 def possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -245,7 +257,8 @@ def possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             c = {k: batch.column(k).to_pylist() for k in ("a", "b", "na", "nb", "sa", "sb")}
-            gap = [int(gaps(c["sa"][i], c["na"][i], [c["sb"][i]], np.array([c["nb"][i]]), percent)[0]) for i in range(batch.num_rows)]
+            one = np.ones(1, dtype=bool)
+            gap = [int(Sketches([c["sb"][i]], np.array([c["nb"][i]]), percent).gaps(c["sa"][i], c["na"][i], one)[0]) for i in range(batch.num_rows)]
             keep = pa.array([g >= 0 for g in gap])
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(gap, type=pa.int64())], names=["a", "b", "gap"]).filter(keep)
 
@@ -262,12 +275,15 @@ def bucket_pairs(rows: DataFrame, n: int, percent: int, every: bool) -> DataFram
     def pairs(cls: list[int], comp: np.ndarray, size: np.ndarray, sketch: list[bytes]) -> Iterator[tuple[int, int]]:
         names, count = np.unique(comp, return_counts=True)
         largest = names[count.argmax()]
+        bucket, place = Sketches(sketch, size, percent), np.arange(len(comp))
         for i in np.flatnonzero(comp != largest):
-            other = np.flatnonzero((comp != comp[i]) & ((comp == largest) | (np.arange(len(comp)) > i) | (not every)))
-            gap = gaps(sketch[i], int(size[i]), [sketch[j] for j in other], size[other], percent)
-            found = other[gap >= 0]
+            wanted = comp != comp[i]
+            if every:
+                wanted &= (comp == largest) | (place > i)
+            gap = bucket.gaps(sketch[i], int(size[i]), wanted)
+            found = np.flatnonzero(gap >= 0)
             if not every and len(found):
-                found = [other[gap >= 0][gap[gap >= 0].argmin()]]
+                found = found[[gap[found].argmin()]]
             for j in found:
                 yield (cls[i], cls[j]) if cls[i] < cls[j] else (cls[j], cls[i])
 
@@ -300,7 +316,11 @@ def bucket_pairs(rows: DataFrame, n: int, percent: int, every: bool) -> DataFram
 
 
 def verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The ``(a, b)`` whose texts' sets are within the threshold; ``texts`` has ``(cls, text)``."""
+    """The ``(a, b)`` whose texts' sets are within the threshold; ``texts`` has ``(cls, text)``.
+
+    Each side picks its texts from the saved pairs by itself, so that few pairs need
+    no shuffle of all texts; the two then meet by pair.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b = SetBuilder(size, percent)
@@ -318,9 +338,10 @@ def verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataF
                     good &= b.classes(*s).view(np.int64) == batch.column(c).to_numpy()
                 yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(good))
 
-    one = texts.select(F.col("cls").alias("a"), F.col("text").alias("ta"))
-    two = texts.select(F.col("cls").alias("b"), F.col("text").alias("tb"))
-    return pairs.select("a", "b").join(one, "a").join(two, "b").mapInArrow(run, "a long, b long")
+    few = if_small(pairs.select("a", "b"))
+    one = texts.select(F.col("cls").alias("a"), F.col("text").alias("ta")).join(few, "a")
+    two = texts.select(F.col("cls").alias("b"), F.col("text").alias("tb")).join(few, "b")
+    return one.join(two, ["a", "b"]).select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
 def join(docs: DataFrame, scratch: Scratch, size: int = 5, percent: int = 80) -> DataFrame:
@@ -332,7 +353,7 @@ def join(docs: DataFrame, scratch: Scratch, size: int = 5, percent: int = 80) ->
     live = scratch.save(live_buckets(signature_rows(docs, size, percent)), "live")
     scratch.drop("nothing")  # the shuffled signatures can go
     known = scratch.save(live.select("cls").distinct().join(classes, "cls"), "known")
-    texts = scratch.save(docs.select("doc_id", "text").join(known.select("cls", "rep"), F.col("doc_id") == F.col("rep")).select("cls", "text"), "texts")
+    texts = scratch.save(docs.select("doc_id", "text").join(if_small(known.select("cls", "rep")), F.col("doc_id") == F.col("rep")).select("cls", "text"), "texts")
     star = live.where("cls <> head").select(F.col("cls").alias("a"), F.col("head").alias("b")).distinct()
     near = possible(star, known, percent).groupBy("a").agg(F.min_by(F.col("b"), F.struct("gap", "b")).alias("b"))
     tested = scratch.save(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "tested-0")
