@@ -14,7 +14,8 @@ What makes shards exact is how they are filled:
   anchor go to the same.
 
 Only anchors (about one in sixty bytes) and the texts of cells with a partly different
-twin are shuffled.  A group of copies meets as equal cells and never as text.
+twin are shuffled.  Equal cells are counted before they are dealt, so a group of copies
+meets as a few rows and never as text.
 
 Nulls are empty texts, which have no window.  Equal rows are separate places, so a
 text that occurs in two rows is removed from both.  Removed runs are judged on bytes;
@@ -104,8 +105,8 @@ class CellCutter:
         return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def cell_rows(texts: DataFrame, length: int, gram: int) -> DataFrame:
-    """``(anchor, key, low, high, cell)`` of ``(key, text)``."""
+def cell_rows(texts: DataFrame, length: int, gram: int, once: bool) -> DataFrame:
+    """``(anchor, key, low, high, cell, n)`` of ``(key, text)``: every cell, or ``once`` for all ``n`` equal ones of some hundred texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter = CellCutter(length, gram)
@@ -113,21 +114,24 @@ def cell_rows(texts: DataFrame, length: int, gram: int) -> DataFrame:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
                 anchor, row, low, high, cell = cutter.cells(*utf8(batch.column("text")))
-                key = batch.column("key").to_numpy()[row]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor.view(np.int64), key, low, high, cell.view(np.int64))], names=["anchor", "key", "low", "high", "cell"])
+                key, n = batch.column("key").to_numpy()[row], np.ones(len(cell), dtype=np.int64)
+                if once:
+                    _, first, n = np.unique(cell, return_index=True, return_counts=True)
+                    anchor, key, low, high, cell = (x[first] for x in (anchor, key, low, high, cell))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor.view(np.int64), key, low, high, cell.view(np.int64), n)], names=["anchor", "key", "low", "high", "cell", "n"])
 
-    return texts.mapInArrow(run, "anchor long, key long, low long, high long, cell long")
+    return texts.mapInArrow(run, "anchor long, key long, low long, high long, cell long, n long")
 
 
 def shared_cells(cells: DataFrame) -> DataFrame:
-    """Cells that aren't alone with their anchor: ``whole``, if equal to another, and ``shown``, if one of several different ones."""
+    """One row for each cell that isn't alone with its anchor: ``whole``, if there are equal ones, and ``shown``, if there are different ones."""
     w = Window.partitionBy("anchor").orderBy("cell", "key", "low")
-    group = Window.partitionBy("anchor").orderBy("cell", "key", "low").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    group = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     rows = cells.withColumn("before", F.lag("cell").over(w)).withColumn("after", F.lead("cell").over(w))
     rows = rows.withColumn("least", F.first("cell").over(w)).withColumn("most", F.last("cell").over(group))
-    whole = F.coalesce(F.col("before") == F.col("cell"), F.lit(False)) | F.coalesce(F.col("after") == F.col("cell"), F.lit(False))
-    shown = (F.col("least") != F.col("most")) & (F.col("before").isNull() | (F.col("before") != F.col("cell")))
-    return rows.select("anchor", "key", "low", "high", whole.alias("whole"), shown.alias("shown")).where("whole or shown")
+    rows = rows.where(F.col("before").isNull() | (F.col("before") != F.col("cell")))
+    whole = (F.col("n") > 1) | F.coalesce(F.col("after") == F.col("cell"), F.lit(False))
+    return rows.select("anchor", "cell", "key", "low", "high", whole.alias("whole"), (F.col("least") != F.col("most")).alias("shown")).where("whole or shown")
 
 
 def shown_texts(cells: DataFrame, texts: DataFrame, length: int) -> DataFrame:
@@ -236,12 +240,16 @@ def dedup(docs: DataFrame, scratch: Scratch, text: str = "text", length: int = L
     key = F.xxhash64(*[F.col(c).cast("string") for c in ("doc_id", text) if c in docs.columns])
     body = F.coalesce(F.encode(F.col(text), "UTF-8"), F.lit(b""))
     long_ = docs.where(F.octet_length(text) >= length).select(key.alias("key"), body.alias("text"))
-    shared = scratch.save(shared_cells(cell_rows(long_, length, gram)), "shared")
+    shared = scratch.save(shared_cells(cell_rows(long_, length, gram, True)), "shared")
     scratch.drop("nothing")  # the shuffled anchors can go
+    # Places of equal cells may be a third of all: they meet the list of such cells in a join, which can split them.
+    equal = shared.where("whole").select("anchor", "cell")
+    whole = scratch.save(cell_rows(long_, length, gram, False).join(equal, ["anchor", "cell"], "left_semi").select("key", "low", "high"), "whole")
+    scratch.drop("nothing")
     shown = shown_texts(shared, long_, length)
     ranges = scratch.save(shard_ranges(shown, partitions(scratch.spark), length), "ranges")
     scratch.drop("nothing")
-    every = ranges.union(shared.where("whole").select("key", "low", "high"))
+    every = ranges.union(whole)
     by_key = every.groupBy(F.col("key").alias("_key")).agg(F.collect_list(F.struct("low", "high")).alias("_ranges"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
