@@ -46,7 +46,8 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The records as the written shards hold them: slot, shard, document, place in it, ids used, and the ids' CRC-32."""
-    layout = token_shards.write(table(spark, sf_dir, "documents"), Scratch(spark, "token-shards").root)
+    pack = token_shards.rank_ids(pieces.read_model(f"{TOKENIZERS}/byte_bpe_multi_50k.tiktoken"))
+    layout = token_shards.write(table(spark, sf_dir, "documents"), Scratch(spark, "token-shards").root, pack, width=2, length=256, per_shard=16384)
     return token_shards.read(spark, layout).select("slot", "shard", "doc_id", "seq_no", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 

@@ -18,10 +18,12 @@ for each partition.
 
 from __future__ import annotations
 
+import base64
 import json
 import struct
 from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -95,18 +97,25 @@ def byte_ids(texts: list[bytes]) -> list[bytes]:
     return texts
 
 
-def rank_ids(ranks: bytes, pattern: str) -> Callable[[list[bytes]], list[bytes]]:
-    """Ids of a byte-level BPE rank file, two bytes each."""
+# Fixed value: the pattern that parts text before the merges of the public rank files.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+@lru_cache(maxsize=2)
+def ranked(ranks: bytes, pattern: str):
+    """The tokenizer of a rank file's content, made once in each worker."""
+    import tiktoken
 
-    def pack(texts: list[bytes], made: list = []) -> list[bytes]:  # noqa: B006  one tokenizer for each worker
-        import base64
+    table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
 
-        import tiktoken
 
-        if not made:
-            table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
-            made.append(tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={}))
-        return [np.array(made[0].encode_ordinary(t.decode("utf-8", "replace")), dtype="<u2").tobytes() for t in texts]
+def rank_ids(ranks: bytes, pattern: str = PATTERN) -> Callable[[list[bytes]], list[bytes]]:
+    """Ids of a byte-level BPE rank file, two bytes each."""
+
+    def pack(texts: list[bytes]) -> list[bytes]:
+        encode = ranked(ranks, pattern).encode_ordinary
+        return [np.array(encode(t.decode("utf-8", "replace")), dtype="<u2").tobytes() for t in texts]
 
     return pack
 

@@ -4,7 +4,7 @@ import os
 import numpy as np
 import pytest
 
-from stratalog.llm import style_tree, token_shards
+from stratalog.llm import pieces, queries, style_tree, token_shards
 from stratalog.llm.common import Scratch
 
 
@@ -90,3 +90,14 @@ def test_wide_ids_and_odd_rows(spark, odd, tmp_path):
     assert any(r.doc_id is None for r in rows) and all(len(r.ids) == 2 * r.n_tokens for r in rows)
     empty = token_shards.write(odd.where("text is null"), f"file://{tmp_path}/c")
     assert empty.sequences == 0 and token_shards.read(spark, empty).count() == 0
+
+
+def test_rank_ids(spark, docs, tmp_path):
+    ranks = pieces.read_model(f"{queries.TOKENIZERS}/byte_bpe_multi_50k.tiktoken")
+    layout = token_shards.write(docs, f"file://{tmp_path}/d", token_shards.rank_ids(ranks), width=2, length=256)
+    by: dict = {}
+    for r in token_shards.read(spark, layout).collect():
+        by.setdefault(r.doc_id, {})[r.seq_no] = bytes(r.ids)
+    decode = token_shards.ranked(ranks, token_shards.PATTERN).decode
+    got = {d: decode(np.frombuffer(b"".join(s[k] for k in sorted(s)), "<u2").tolist()) for d, s in by.items()}
+    assert got == {r.doc_id: r.text for r in docs.collect() if r.text}
