@@ -1 +1 @@
-"""Spark-native versioned key-value logs."""
+"""Column functions: key orders, byte codecs, hashes and sketches."""

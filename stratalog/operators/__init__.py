@@ -1 +1 @@
-"""Spark-native versioned key-value logs."""
+"""Operators on logs, sorted files, levels, value logs, manifests and access streams."""

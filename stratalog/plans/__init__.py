@@ -1 +1 @@
-"""Spark-native versioned key-value logs."""
+"""Queries over whole tables, bound to the driver's fixtures."""

@@ -1 +1 @@
-"""Spark-native versioned key-value logs."""
+"""Logs fed by streams."""
