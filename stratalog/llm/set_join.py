@@ -58,22 +58,27 @@ class Band:
     deletions: bool
 
 
-def allocate(low: int, errors: int, weak_cost: float = 20.0) -> Band:
-    """The cheaper of exact segments and one-deletion neighbourhoods for a band's smallest sets."""
-    spare = 0
-    while True:
+def poisson_tail(mean: float, k: int) -> float:
+    return max(0.0, 1 - sum(math.exp(-mean) * mean**i / math.factorial(i) for i in range(k + 1)))
+
+
+def allocate(low: int, errors: int, weak_cost: float = 6.0, sparse_cost: float = 500.0) -> Band:
+    """The cheapest of exact segments, with more or fewer to spare, and one-deletion neighbourhoods for a band's smallest sets.
+
+    A signature costs 1, one of a segment with a token or none (two with deletions)
+    ``weak_cost`` more; ``sparse_cost`` is that of a set with more empty segments than
+    there are to spare, whose signatures of empty segments many share.
+    """
+    found = []
+    for spare in range(25):
         m = errors + 1 + spare
-        empties = m * math.exp(-low / m)
-        tail = 1 - sum(math.exp(-empties) * empties**i / math.factorial(i) for i in range(spare + 1))
-        if tail < 1e-3 or spare >= 8:
-            break
-        spare += 1
+        k = low / m
+        cost = m * (1 + weak_cost * math.exp(-k) * (1 + k)) + sparse_cost * poisson_tail(m * math.exp(-k), spare)
+        found.append((cost, Band(low, errors, m, spare, False)))
+    m = -(-(errors + 1) // 2)
     k = low / m
-    exact = m * (1 + weak_cost * math.exp(-k) * (1 + k))
-    m2 = -(-(errors + 1) // 2)
-    k2 = low / m2
-    deletion = low + m2 + weak_cost * m2 * math.exp(-k2) * (1 + k2 + k2 * k2 / 2)
-    return Band(low, errors, m, spare, False) if exact <= deletion else Band(low, errors, m2, 0, True)
+    found.append((low + m + weak_cost * m * math.exp(-k) * (1 + k + k * k / 2), Band(low, errors, m, 0, True)))
+    return min(found, key=lambda x: x[0])[1]
 
 
 class Bands:
@@ -262,7 +267,10 @@ def possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
             keep = pa.array([g >= 0 for g in gap])
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(gap, type=pa.int64())], names=["a", "b", "gap"]).filter(keep)
 
-    return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long, gap long")
+    n = classes.select("cls", "n")
+    sized = pairs.select("a", "b").join(n.select(F.col("cls").alias("a"), F.col("n").alias("x")), "a").join(n.select(F.col("cls").alias("b"), F.col("n").alias("y")), "b")
+    fit = sized.where(100 * F.least("x", "y") >= percent * F.greatest("x", "y")).select("a", "b")
+    return fit.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long, gap long")
 
 
 def bucket_pairs(rows: DataFrame, n: int, percent: int, every: bool) -> DataFrame:
