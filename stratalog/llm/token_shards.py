@@ -114,8 +114,8 @@ def rank_ids(ranks: bytes, pattern: str = PATTERN) -> Callable[[list[bytes]], li
     """Ids of a byte-level BPE rank file, two bytes each."""
 
     def pack(texts: list[bytes]) -> list[bytes]:
-        encode = ranked(ranks, pattern).encode_ordinary
-        return [np.array(encode(t.decode("utf-8", "replace")), dtype="<u2").tobytes() for t in texts]
+        encode = ranked(ranks, pattern).encode_to_numpy  # no list of Python numbers in between
+        return [encode(t.decode("utf-8", "replace"), disallowed_special=()).astype("<u2").tobytes() for t in texts]
 
     return pack
 
