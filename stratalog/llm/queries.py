@@ -81,5 +81,28 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in own}
 
 
+#: Base statistics by counting every 3-word window, and boilerplate lines by counting documents per host.
+RULES_SQL = r"""
+WITH d AS (SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id, source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT r, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM d),
+win AS (SELECT r, i, ws[i] || chr(10) || ws[i + 1] || chr(10) || ws[i + 2] AS g FROM (SELECT r, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) > 2) t),
+rep AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM win) t WHERE c > 1),
+cov AS (SELECT r, count(DISTINCT j) AS n FROM (SELECT r, i AS j FROM rep UNION ALL SELECT r, i + 1 FROM rep UNION ALL SELECT r, i + 2 FROM rep) t GROUP BY r),
+raw AS (SELECT r, doc_id, source, unnest(string_split(text, chr(10))) AS line FROM d),
+ln AS (SELECT r, source, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n,
+    trim(regexp_replace(regexp_replace(lower(line), '[0-9]', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) AS norm FROM raw),
+ok AS (SELECT * FROM ln WHERE n > 0),
+dup AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM ok GROUP BY r),
+common AS (SELECT source, norm FROM ok GROUP BY source, norm HAVING count(DISTINCT r) > 30),
+lost AS (SELECT ok.r, sum(CASE WHEN c.norm IS NULL THEN 0 ELSE ok.n END) AS gone, sum(ok.n) AS total FROM ok LEFT JOIN common c ON c.source IS NOT DISTINCT FROM ok.source AND c.norm = ok.norm GROUP BY ok.r),
+base AS (SELECT d.r, d.doc_id, CAST(len(w.ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(d.text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(d.text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words,
+    coalesce(lost.total - lost.gone < 0.5 * lost.total, FALSE) AS depleted
+    FROM d JOIN w ON w.r = d.r LEFT JOIN dup ON dup.r = d.r LEFT JOIN cov ON cov.r = d.r LEFT JOIN lost ON lost.r = d.r)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
+    NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT depleted AS kept FROM base
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_quality_rules": RULES_SQL}
