@@ -12,6 +12,11 @@ Entropy can't tell furniture that differs from page to page (adverts, menus with
 links) from an article, so declared roles are part of a node's presentation: elements
 and class names for menus, footers, adverts, comments, forms and the like have
 importance 0, and where a page declares an article or main part, all outside it too.
+A class or id is a weaker sign than an element or role (``has-sidebar``, ``search-page``):
+it says nothing about html, body, an article or main part and what holds one, nor about
+a branch with half of the text or more, or all named branches where there is no other
+text.  Entropy decides about those.  An article inside an article (a comment) and what
+holds it go by their names.
 Plain blocks of an article, without class or id, are never removed: copies of one page
 would make them look repeated.  Equal pages of a host count once.
 
@@ -55,36 +60,87 @@ FURNITURE_NAMES = frozenset(
     "recommended widget toolbar pagination pager login search skip".split()
 )
 CONTENT_TAGS = frozenset(["article", "main"])
+UNNAMED_TAGS = frozenset("html body article main".split())
 
 LOW, LEAST_PAGES, PRESENTATION_SHARE = 0.2, 4, 0.3
 
 
 class Node:
-    __slots__ = ("tag", "path", "gone", "inside", "children", "texts", "plain")
+    __slots__ = ("tag", "path", "gone", "named", "inside", "children", "texts", "plain")
 
-    def __init__(self, tag: str, path: str, gone: bool, inside: bool, plain: bool):
-        self.tag, self.path, self.gone, self.inside, self.plain = tag, path, gone, inside, plain
+    def __init__(self, tag: str, path: str, gone: bool, named: tuple[int, ...], inside: bool, plain: bool):
+        self.tag, self.path, self.gone, self.named, self.inside, self.plain = tag, path, gone, named, inside, plain
         self.children: list[str] = []
         self.texts: list[str] = []
 
 
 class Page:
-    """A page's blocks ``(path, text, inside an article)`` in order, and its block elements for the style tree."""
+    """A page's blocks ``(path, text, inside an article)`` in order, and its block elements for the style tree.
+
+    Branches named like furniture are numbered in order.  The first reading leaves all
+    of them out and measures them; where some are to be spared, a second one keeps those.
+    """
 
     def __init__(self, html: str):
+        self.begin(frozenset())
+        self.read(html)
+        if spared := self.misnamed():
+            self.begin(spared)
+            self.read(html)
+
+    def begin(self, spared: frozenset[int]) -> None:
+        self.spared = spared
+        self.insides: list[bool] = []
+        self.holders: set[int] = set()
+        self.content = False
+        self.sizes: dict[tuple[bool, tuple[int, ...]], int] = {}
         self.nodes: list[Node] = []
         self.blocks: list[tuple[str, str, bool]] = []
         self.declared = False
-        self.stack = [Node("", "", False, False, True)]
-        self.open_inline: list[tuple[str, bool]] = []
+        self.stack = [Node("", "", False, (), False, True)]
+        self.open_inline: list[tuple[str, bool, tuple[int, ...]]] = []
         self.pending: list[str] = []
-        self.read(html)
+
+    def misnamed(self) -> frozenset[int]:
+        """Named branches that their names alone don't make furniture."""
+        if not self.insides:
+            return frozenset()
+        # Where a page declares its content, nothing else of it counts.
+        sizes = [(named, n) for (inside, named), n in self.sizes.items() if inside or not self.content]
+        total = sum(n for _, n in sizes)
+        held = dict.fromkeys(range(len(self.insides)), 0)
+        for named, n in sizes:
+            for k in set(named):
+                held[k] += n
+        spared = self.holders | {k for k, n in held.items() if n and 2 * n >= total}
+        if total and not any(spared.issuperset(named) for named, _ in sizes):
+            spared |= {k for k, n in held.items() if n}
+        return frozenset(spared)
+
+    def name(self, inside: bool) -> tuple[int, ...]:
+        self.insides.append(inside)
+        return (len(self.insides) - 1,)
+
+    def left_out(self, named: tuple[int, ...]) -> bool:
+        return bool(named) and not self.spared.issuperset(named)
+
+    def text(self, piece: str) -> None:
+        top = self.stack[-1]
+        if top.gone or any(gone for _, gone, _ in self.open_inline):
+            return
+        named = top.named
+        for _, _, own in self.open_inline:
+            named += own
+        at = (top.inside, named)
+        self.sizes[at] = self.sizes.get(at, 0) + len(piece.strip())
+        if not self.left_out(named):
+            self.pending.append(unescape(piece))
 
     def flush(self) -> None:
         text = " ".join("".join(self.pending).split())
         self.pending = []
         top = self.stack[-1]
-        if text and not top.gone:
+        if text and not top.gone and not self.left_out(top.named):
             self.blocks.append((top.path, text, top.inside))
             top.texts.append(text)
 
@@ -95,7 +151,8 @@ class Page:
 
     def start(self, tag: str, attrs: str) -> None:
         if tag in INLINE:
-            self.open_inline.append((tag, furniture(tag, attributes(attrs), True) if attrs.strip() else False))
+            a = attributes(attrs) if attrs.strip() else {}
+            self.open_inline.append((tag, furniture(tag, a, True), self.name(self.stack[-1].inside) if furniture_name(a, True) else ()))
             return
         if tag in CLOSES_P:
             for depth in range(len(self.stack) - 1, 0, -1):
@@ -115,9 +172,16 @@ class Page:
         a = attributes(attrs) if attrs.strip() else {}
         up = self.stack[-1]
         inside = up.inside or tag in CONTENT_TAGS
-        named = ".".join(sorted(a.get("class", "").split())) + ("#" + a["id"] if a.get("id") else "")
-        node = Node(tag, f"{up.path}/{tag}" + (f"[{named}]" if named else ""), up.gone or furniture(tag, a, up.inside), inside, up.plain and (not named or not up.inside))
-        if not node.gone:
+        label = ".".join(sorted(a.get("class", "").split())) + ("#" + a["id"] if a.get("id") else "")
+        gone, named = up.gone or furniture(tag, a, up.inside), up.named
+        first = tag in UNNAMED_TAGS and not (up.inside and any(x.tag == "article" for x in self.stack))
+        if first and tag in CONTENT_TAGS and not gone:
+            self.content = True
+            self.holders.update(named, *(own for _, _, own in self.open_inline))
+        if not first and furniture_name(a, up.inside):
+            named += self.name(up.inside)
+        node = Node(tag, f"{up.path}/{tag}" + (f"[{label}]" if label else ""), gone, named, inside, up.plain and (not label or not up.inside))
+        if not node.gone and not self.left_out(named):
             self.declared |= inside
             self.nodes.append(node)
         up.children.append(tag)
@@ -141,8 +205,8 @@ class Page:
         while at < n:
             m = TOKEN.search(html, at)
             piece = html[at : m.start() if m else n]
-            if piece and not self.stack[-1].gone and not any(gone for _, gone in self.open_inline):
-                self.pending.append(unescape(piece))
+            if piece:
+                self.text(piece)
             if not m:
                 break
             at = m.end()
@@ -170,15 +234,20 @@ def attributes(text: str) -> dict[str, str]:
 
 
 def furniture(tag: str, a: dict[str, str], inside: bool) -> bool:
-    """Whether an element declares itself to be something other than content."""
+    """Whether an element's tag, role or style declares it to be something other than content."""
     if tag in FURNITURE_TAGS or (tag == "header" and not inside):
         return True
     if not a:
         return False
     if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", a.get("style", "")):
         return True
-    if a.get("role", "").lower() in FURNITURE_ROLES:
-        return True
+    return a.get("role", "").lower() in FURNITURE_ROLES
+
+
+def furniture_name(a: dict[str, str], inside: bool) -> bool:
+    """Whether a word of an element's class or id is one that furniture has."""
+    if not ("class" in a or "id" in a):
+        return False
     names = NAME_PARTS.findall((a.get("class", "") + " " + a.get("id", "")).lower())
     return not FURNITURE_NAMES.isdisjoint(names) or (not inside and "header" in names)
 

@@ -20,6 +20,41 @@ def test_main_text_of_messy_markup():
     assert style_tree.main_text('<p class="a>b">in</p>', set()) == "in"
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<html class="no-ads"><body><article><p>One</p></article></body></html>',
+        '<body class="has-sidebar"><div class="sidebar">menu</div><article><p>One</p></article></body>',
+        '<body class="no-ads"><nav>menu</nav><p>One</p></body>',
+        '<main class="with-sidebar"><p>One</p></main>',
+        '<main class="with-sidebar"><div class="left sidebar_off"><article><p>One</p></article></div></main>',
+        '<article class="post comment-open"><p>One</p><div id="comments"><p>no</p></div></article>',
+        '<div id="search-page"><article><p>One</p></article></div><div class="ad">buy</div>',
+        '<div id="search-page"><div class="share">no</div><p>One</p></div>',
+        '<div class="no-header"><div class="promo-off"><main><p>One</p></main></div></div>',
+        '<span class="no-ads"><article><p>One</p></article></span>',
+        '<article><p>One</p><div id="comments"><article class="comment"><p>no</p></article></div></article>',
+    ],
+)
+def test_names_of_what_holds_the_text(page):
+    assert style_tree.main_text(page.replace("One", "One two three four five"), set()) == "One two three four five"
+
+
+def test_only_named_branches():
+    page = "".join(f'<div class="text-widget"><p>part {i}</p></div>' for i in range(5))
+    assert style_tree.main_text(page, set()) == "\n".join(f"part {i}" for i in range(5))
+
+
+def test_entropy_confirms_large_named_branches(spark):
+    """A box with half of the text that all pages share goes; one that differs stays, and with it what its body's names would have cost."""
+    same = "<div class='cookie-notice'><p>" + "the same long notice " * 9 + "</p></div>"
+    rows = [(i, f"http://a.com/{i}", f"<body class='has-sidebar'>{same}<p>text number {i}</p></body>") for i in range(8)]
+    rows += [(20 + i, f"http://b.com/{i}", f"<body><div id='search-page'><p>text number {i}</p></div></body>") for i in range(8)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in style_tree.extract(df, Scratch(spark, "t")).collect()}
+    assert got == {r[0]: f"text number {r[0] % 20}" for r in rows}
+
+
 def test_unclosed_quotes_take_linear_time():
     assert isinstance(style_tree.main_text("<a '" * 20_000, set()), str)
 
