@@ -31,12 +31,27 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.score(mine, model).where("predicted = 1").drop("score", "predicted").withColumnsRenamed(back).select(*docs.columns)
 
 
+def one_of_each(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """``docs`` with one of the rows of equal id and text, nulls included. Only rows that may be repeated are shuffled with their texts."""
+    hashed = docs.withColumn("_hash", F.xxhash64("doc_id", "text"))
+    again = scratch.save(hashed.groupBy("_hash").agg(F.count("*").alias("n")).where("n > 1").select("_hash"), "again")
+    if again.isEmpty():
+        return docs
+    one = scratch.save(hashed.join(if_small(again), "_hash", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns), "one")
+    return hashed.join(if_small(again), "_hash", "left_anti").select(*docs.columns).unionByName(one)
+
+
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group that links of 0.8 similarity of five-word shingles connect, the smallest id stays."""
+    """Of each group that links of 0.8 similarity of five-word shingles connect, one row stays: that of the smallest id.
+
+    A row is known by its id and a hash of its text: repeated rows are one, an id's
+    other texts are judged by themselves, and rows without an id come last.
+    """
     scratch = Scratch(spark, "near-duplicates")
-    groups = set_join.join(docs, scratch, size=5, percent=80)
-    extra = scratch.save(groups.where("doc_id <> component_id").select("doc_id"), "extra")
-    return docs.join(if_small(extra), "doc_id", "left_anti").select(*docs.columns)
+    rows = one_of_each(docs, scratch).withColumn("_row", F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash")))
+    groups = set_join.join(rows.select(F.col("_row").alias("doc_id"), "text"), scratch, size=5, percent=80)
+    extra = scratch.save(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_row")), "extra")
+    return rows.join(if_small(extra), "_row", "left_anti").select(*docs.columns)
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

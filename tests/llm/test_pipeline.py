@@ -45,3 +45,18 @@ def test_odd_rows(spark, odd, sf_dir):
             assert out.columns == odd.columns
     assert cp.near_duplicate_stage(spark, odd.where("false"), sf_dir).count() == 0
     assert cp.mixture_stage(spark, odd, sf_dir).where("text is null or text = ''").count() == 0
+
+
+def test_one_row_of_each_group_survives(spark, sf_dir):
+    """Repeated rows, rows without an id and an id with two texts: one copy of each text reaches the end of the suffix stage."""
+    a, b, c, d, e, f = (" ".join(f"{x}{i}" for i in range(90)) for x in "abcdef")
+    rows = [(1, a), (1, a), (1, a)]  # a repeated row
+    rows += [(None, b), (None, b), (None, c)]  # two texts without an id
+    rows += [(2, d), (7, d), (7, e)]  # of an id's two texts one is a copy of a smaller id's
+    rows += [(None, d), (9, e + " more"), (None, f + " more"), (8, f)]  # near copies
+    rows += [(3, ""), (3, ""), (3, None), (4, ""), (None, None), (None, None)]  # without a word
+    df = spark.createDataFrame([(i, t, "en", str(k % 3)) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string").repartition(5)
+    want = [(1, a), (None, b), (None, c), (2, d), (7, e), (8, f), (3, ""), (3, None), (4, ""), (None, None)]
+    near = Scratch(spark, "t").save(cp.near_duplicate_stage(spark, df, sf_dir), "near")
+    assert near.columns == df.columns and Counter((r.doc_id, r.text) for r in near.collect()) == Counter(want)
+    assert Counter((r.doc_id, r.text) for r in cp.suffix_stage(spark, near, sf_dir).collect()) == Counter(want)
