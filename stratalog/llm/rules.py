@@ -21,27 +21,39 @@ SYMBOL = r"[#*$%&|<>]"
 GAP = r"[\x20\x09-\x0D]"
 
 
-def repeated_words(words: str, n: str) -> Column:
+def repeated_words(spots: str, n: str) -> Column:
     """Words inside 3-word windows that occur twice or more in the text, first occurrences included.
 
-    Every window becomes one long: the hash above, its start in as many low bits as the
-    text's length needs.  Sorted, equal hashes are neighbours; the starts that have one
-    are sorted again, and each adds the words that the one before doesn't cover.
+    ``spots`` are :func:`likely_repeats`.  Equal hashes are neighbours; the starts that
+    have one are sorted again, and each adds the words that the one before doesn't cover.
     """
     return F.expr(f"""
         CASE WHEN {n} < 4 THEN 0L ELSE aggregate(
             sort_array(transform(filter(
-                repeat_keys,
-                (x, i) -> shiftright(x, repeat_bits) = shiftright(get(repeat_keys, i + 1), repeat_bits)
-                       OR shiftright(x, repeat_bits) = shiftright(get(repeat_keys, i - 1), repeat_bits)
-            ), x -> x & (shiftleft(1L, repeat_bits) - 1L))),
+                {spots},
+                (x, i) -> x.hash = get({spots}, i + 1).hash OR x.hash = get({spots}, i - 1).hash
+            ), x -> x.at)),
             struct(0L AS total, -3L AS last),
             (s, x) -> struct(s.total + least(3L, x - s.last) AS total, x AS last),
             s -> s.total
         ) END""")
 
 
+def likely_repeats(words: str, n: str) -> Column:
+    """Sorted ``(hash, at)``, with the whole 64-bit hash, of the windows whose keys have equal hash bits: all repeated ones, and few others."""
+    return F.expr(f"""
+        CASE WHEN {n} < 4 THEN array(struct(0L AS hash, 0L AS at)) ELSE sort_array(transform(
+            transform(filter(
+                repeat_keys,
+                (x, i) -> shiftright(x, repeat_bits) = shiftright(get(repeat_keys, i + 1), repeat_bits)
+                       OR shiftright(x, repeat_bits) = shiftright(get(repeat_keys, i - 1), repeat_bits)
+            ), x -> CAST(x & (shiftleft(1L, repeat_bits) - 1L) AS INT)),
+            i -> struct(xxhash64(get({words}, i), get({words}, i + 1), get({words}, i + 2)) AS hash, CAST(i AS BIGINT) AS at)
+        )) END""")
+
+
 def window_keys(words: str, n: str) -> Column:
+    """Sorted longs, one a window: what has room of the hash above, its start in as many low bits as the text's length needs."""
     return F.expr(f"""
         CASE WHEN {n} < 4 THEN array(0L) ELSE sort_array(transform(
             sequence(0, greatest({n}, 3) - 3),
@@ -55,6 +67,7 @@ def statistics(docs: DataFrame, host: str = "source", text: str = "text") -> Dat
     lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(WORD))
     t = docs.select("doc_id", F.col(host).cast("string").alias("host"), F.xxhash64(text).alias("text_hash"), body.alias("body"), F.regexp_extract_all(body, F.lit(WORD), F.lit(0)).alias("words"), lines.alias("lines"))
     t = t.withColumn("n_words", F.size("words")).withColumn("repeat_bits", F.length(F.bin("n_words"))).withColumn("repeat_keys", window_keys("words", "n_words"))
+    t = t.withColumn("repeat_spots", likely_repeats("words", "n_words"))
     t = t.select(
         "doc_id",
         "host",
@@ -63,7 +76,7 @@ def statistics(docs: DataFrame, host: str = "source", text: str = "text") -> Dat
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.regexp_count("body", F.lit(SYMBOL)).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        repeated_words("words", "n_words").alias("n_repeat_words"),
+        repeated_words("repeat_spots", "n_words").alias("n_repeat_words"),
     )
     return t.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 

@@ -46,6 +46,13 @@ def test_rules_against_brute_force(spark, which, request):
     assert which == "odd" or len(bad) > 0
 
 
+def test_no_false_repeat_in_a_long_text(spark):
+    """Among a million different windows those at 75,405 and 1,050,346 have equal low 43 bits of their hashes."""
+    words = [f"k{i}" for i in range(1_060_000)]
+    df = spark.createDataFrame([(1, " ".join(words), "h"), (2, " ".join(words + words[70_000:70_005]), "h")], "doc_id long, text string, source string")
+    assert {r.doc_id: (r.n_words, r.n_repeat_words) for r in rules.statistics(df).collect()} == {1: (1_060_000, 0), 2: (1_060_005, 10)}
+
+
 def test_strip_lines(spark):
     df = spark.createDataFrame([(i, f"Page {i}\nown line {chr(97 + i)}", "h") for i in range(5)], "doc_id long, text string, source string")
     out = rules.strip_lines(df, Scratch(spark, "t"), max_docs=3)
