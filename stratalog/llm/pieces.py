@@ -175,14 +175,19 @@ class Codec:
 
 
 def use_threads(n: int) -> None:
-    os.environ.setdefault("RAYON_NUM_THREADS", str(n))
+    if n > 1:
+        os.environ.setdefault("RAYON_NUM_THREADS", str(n))
     os.environ["TOKENIZERS_PARALLELISM"] = "true" if n > 1 else "false"
 
 
 @lru_cache(maxsize=2)
+def loaded(data: bytes) -> Codec:
+    return Codec(data)
+
+
 def codec(data: bytes, threads: int = 1) -> Codec:
     use_threads(threads)
-    return Codec(data)
+    return loaded(data)
 
 
 def read_model(path: str) -> bytes:
@@ -190,13 +195,15 @@ def read_model(path: str) -> bytes:
         return f.read()
 
 
-def encode(df: DataFrame, model: bytes, text: str = "text", threads: int = 1, check_round_trip: bool = False) -> DataFrame:
+def encode(df: DataFrame, model: bytes, text: str = "text", threads: int | None = None, check_round_trip: bool = False) -> DataFrame:
     """Adds ``ids`` (array of int) and, if asked for, ``round_trip`` (decoding gives the text back); clashing input columns are replaced.
 
-    ``model`` is the file's content, broadcast once; it is of a fixed size.
+    ``model`` is the file's content, broadcast once; it is of a fixed size.  Batches are
+    encoded by as many ``threads`` as a task has cores (``spark.task.cpus``) unless it is given.
     """
     made = ["ids", "round_trip"][: 1 + check_round_trip]
     keep = [c for c in df.columns if c not in made]
+    threads = threads or int(df.sparkSession.conf.get("spark.task.cpus", "1"))
     sent = df.sparkSession.sparkContext.broadcast(base64.b64encode(model).decode())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

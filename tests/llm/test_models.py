@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from stratalog.llm import langid, ogg, pieces, quality, queries
@@ -143,6 +144,20 @@ def test_parity_with_sentencepiece(docs):
             assert c.decode(c.encode([t])[0]) == t
 
 
+def test_threads_of_a_task(docs, monkeypatch):
+    """Batches are encoded by as many threads as a task has cores, to the same ids."""
+    data, seen = pieces.read_model(MODEL), []
+    texts = TRICKY + [r.text for r in docs.select("text").limit(100).collect()]
+    conf, use = type(docs.sparkSession.conf), pieces.use_threads
+    with monkeypatch.context() as m:
+        m.setattr(conf, "get", lambda self, key, *a, get=conf.get: "2" if key == "spark.task.cpus" else get(self, key, *a))
+        m.setattr(type(docs), "mapInArrow", lambda self, f, schema: f)
+        m.setattr(pieces, "use_threads", lambda n: (seen.append(n), use(n)))
+        run = pieces.encode(docs.select("text"), data)
+        (batch,) = run(iter([pa.RecordBatch.from_pydict({"text": texts})]))
+    assert seen == [2] and batch.column("ids").to_pylist() == pieces.codec(data).encode(texts)
+
+
 def test_encode_rows(spark, odd):
     out = pieces.encode(odd, pieces.read_model(MODEL), check_round_trip=True)
     rows = pieces.decode(out, pieces.read_model(MODEL)).collect()
