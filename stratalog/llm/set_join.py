@@ -359,7 +359,6 @@ def join(docs: DataFrame, scratch: Scratch, size: int = 5, percent: int = 80) ->
     some = rows.where("n_shingles > 0 and doc_id is not null")
     classes = scratch.save(some.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "classes")
     live = scratch.save(live_buckets(signature_rows(docs, size, percent)), "live")
-    scratch.drop("nothing")  # the shuffled signatures can go
     known = scratch.save(live.select("cls").distinct().join(classes, "cls"), "known")
     texts = scratch.save(docs.select("doc_id", "text").join(if_small(known.select("cls", "rep")), F.col("doc_id") == F.col("rep")).select("cls", "text"), "texts")
     star = live.where("cls <> head").select(F.col("cls").alias("a"), F.col("head").alias("b")).distinct()

@@ -241,14 +241,11 @@ def dedup(docs: DataFrame, scratch: Scratch, text: str = "text", length: int = L
     body = F.coalesce(F.encode(F.col(text), "UTF-8"), F.lit(b""))
     long_ = docs.where(F.octet_length(text) >= length).select(key.alias("key"), body.alias("text"))
     shared = scratch.save(shared_cells(cell_rows(long_, length, gram, True)), "shared")
-    scratch.drop("nothing")  # the shuffled anchors can go
     # Places of equal cells may be a third of all: they meet the list of such cells in a join, which can split them.
     equal = shared.where("whole").select("anchor", "cell")
     whole = scratch.save(cell_rows(long_, length, gram, False).join(equal, ["anchor", "cell"], "left_semi").select("key", "low", "high"), "whole")
-    scratch.drop("nothing")
     shown = shown_texts(shared, long_, length)
     ranges = scratch.save(shard_ranges(shown, partitions(scratch.spark), length), "ranges")
-    scratch.drop("nothing")
     every = ranges.union(whole)
     by_key = every.groupBy(F.col("key").alias("_key")).agg(F.collect_list(F.struct("low", "high")).alias("_ranges"))
 

@@ -10,10 +10,15 @@ A record is doc_id (int64, the least one for null), number within the document
 (uint32), ids used (uint32), ``length`` ids little-endian in as few bytes as the
 vocabulary needs, zero-padded, and a line feed.
 
-Null and empty texts have no sequence.  Equal rows have sequences of their own.  The
-numbering needs the same partitions in both passes, which one and the same input plan
-gives; it counts first, and the count is all that is held in the driver, one number
-for each partition.
+Null and empty texts have no sequence.  Equal rows have sequences of their own.
+
+Texts are tokenized once: the sequences are written to a staging table with their
+partition and place in it, and what is counted, numbered and dealt comes from that
+table alone, so a run that loses executors or reads a source that changes still has one
+numbering.  Counts and places must agree, and so must the shards' bytes, or the run
+fails.  Only unpadded records are shuffled, a ``rounds``-th of the shards at a time, so
+that the shuffle's files take a part of the room.  The driver holds one number for each
+partition.
 """
 
 from __future__ import annotations
@@ -31,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix64, mix_int
+from .common import delete, mix64, mix_int, released_shuffles
 
 HEAD = "<qII"
 HEAD_SIZE = struct.calcsize(HEAD)
@@ -114,69 +119,94 @@ def rank_ids(ranks: bytes, pattern: str = PATTERN) -> Callable[[list[bytes]], li
     """Ids of a byte-level BPE rank file, two bytes each."""
 
     def pack(texts: list[bytes]) -> list[bytes]:
-        encode = ranked(ranks, pattern).encode_to_numpy  # no list of Python numbers in between
-        return [encode(t.decode("utf-8", "replace"), disallowed_special=()).astype("<u2").tobytes() for t in texts]
+        encode = ranked(ranks, pattern).encode_ordinary
+        return [np.array(encode(t.decode("utf-8", "replace")), dtype="<u2").tobytes() for t in texts]
 
     return pack
 
 
-def write(docs: DataFrame, path: str, pack: Callable[[list[bytes]], list[bytes]] = byte_ids, width: int = 1, length: int = 1024, per_shard: int = 8192, key: int = 20240229) -> Layout:
-    """Writes the shards of ``(doc_id, text)`` and, last, a manifest; a path without one is unfinished."""
-    spark = docs.sparkSession
+def staged(docs: DataFrame, pack: Callable[[list[bytes]], list[bytes]], width: int, stride: int) -> DataFrame:
+    """``(part, place, record)``: every sequence, its number in its partition, its record without padding."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    stride = length * width
 
-    def packed(batch: pa.RecordBatch) -> Iterator[tuple[int | None, bytes]]:
-        for low in range(0, batch.num_rows, 256):
-            part = batch.slice(low, 256)
-            texts = [x.as_py() or b"" for x in part.column("text").cast(pa.large_binary())]
-            yield from zip(part.column("doc_id").to_pylist(), pack(texts))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, place = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            for low in range(0, batch.num_rows, 256):
+                some = batch.slice(low, 256)
+                texts = [x.as_py() or b"" for x in some.column("text").cast(pa.large_binary())]
+                out = []
+                for doc, ids in zip(some.column("doc_id").to_pylist(), pack(texts)):
+                    for k, at in enumerate(range(0, len(ids), stride)):
+                        body = ids[at : at + stride]
+                        out.append(struct.pack(HEAD, NO_ID if doc is None else doc, k, len(body) // width) + body)
+                places = np.arange(place, place + len(out))
+                place += len(out)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(out), part)), pa.array(places), pa.array(out, type=pa.binary())], names=["part", "place", "record"])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = sum(-(-len(ids) // stride) for batch in batches for _, ids in packed(batch))
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], type=pa.int64()), pa.array([n], type=pa.int64())], names=["part", "n"])
+    return source.mapInArrow(run, "part long, place long, record binary")
 
-    counts = {r["part"]: r["n"] for r in source.mapInArrow(count, "part long, n long").collect()}
+
+def first_numbers(rows: DataFrame) -> tuple[dict[int, int], int]:
+    """The number of each partition's first sequence, and of all of them; fails unless every partition's places are 0, 1, 2, ..."""
+    found = rows.groupBy("part").agg(F.count("*").alias("n"), F.min("place").alias("low"), F.max("place").alias("high"), F.sum("place").alias("total")).collect()
     base, total = {}, 0
-    for part in sorted(counts):
-        base[part] = total
-        total += counts[part]
+    for r in sorted(found, key=lambda r: r["part"]):
+        if (r["low"], r["high"], 2 * r["total"]) != (0, r["n"] - 1, r["n"] * (r["n"] - 1)):
+            raise ValueError(f"the sequences of partition {r['part']} aren't numbered without gaps")
+        base[r["part"]] = total
+        total += r["n"]
+    return base, total
+
+
+def write(docs: DataFrame, path: str, pack: Callable[[list[bytes]], list[bytes]] = byte_ids, width: int = 1, length: int = 1024, per_shard: int = 8192, key: int = 20240229, rounds: int = 2) -> Layout:
+    """Writes the shards of ``(doc_id, text)`` and, last, a manifest; a path without one is unfinished."""
+    spark = docs.sparkSession
+    staging = f"{path}/staging"
+    rows = staged(docs, pack, width, length * width)
+    rows.write.option("compression", "zstd").parquet(staging)
+    rows = spark.read.schema(rows.schema).parquet(staging)
+    base, total = first_numbers(rows)
     layout = Layout(path, total, per_shard, length, width, key)
     if total:
         sent = spark.sparkContext.broadcast(base)
         order = Permutation(total, key)
 
-        def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            at = sent.value[TaskContext.get().partitionId()]
-            out: list[bytes] = []
-
-            def flush() -> pa.RecordBatch:
-                nonlocal at, out
-                slots = order.slot(np.arange(at, at + len(out)))
-                at += len(out)
-                raw = pa.array(out, type=pa.binary())
-                text = pa.Array.from_buffers(pa.string(), len(raw), raw.buffers())  # bytes as they are: Spark's text writer takes strings only
-                out = []
-                return pa.RecordBatch.from_arrays([pa.array(slots // per_shard, type=pa.int32()), pa.array(slots), text], names=["shard", "slot", "record"])
-
+        def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for doc, ids in packed(batch):
-                    for k in range(-(-len(ids) // stride)):
-                        body = ids[k * stride : (k + 1) * stride]
-                        out.append(struct.pack(HEAD, NO_ID if doc is None else doc, k, len(body) // width) + body + bytes(stride - len(body)))
-                    if len(out) >= 1024:
-                        yield flush()
-            if out:
-                yield flush()
-
-        rows = source.mapInArrow(records, "shard int, slot long, record string")
-        dealt = rows.repartitionById(layout.shards, "shard").sortWithinPartitions("slot")
-        dealt.select("record").write.option("lineSep", "\n").text(f"{path}/shards")
+                first = np.array([sent.value[p] for p in batch.column("part").to_pylist()], dtype=np.int64)
+                slots = order.slot(first + batch.column("place").to_numpy())
+                yield pa.RecordBatch.from_arrays([pa.array((slots // per_shard).astype(np.int32)), pa.array(slots), batch.column("record")], names=["shard", "slot", "record"])
+
+        dealt = rows.mapInArrow(numbered, "shard int, slot long, record binary")
+        # Spark's text writer takes strings only; the bytes stay as they are.
+        full = F.rpad("record", layout.stride - 1, F.lit(b"\0")).cast("string").alias("record")
+        edges = sorted({layout.shards * r // rounds for r in range(rounds + 1)})
+        for low, high in zip(edges, edges[1:]):
+            part = dealt.where((F.col("shard") >= low) & (F.col("shard") < high)).withColumn("at", F.col("shard") - low)
+            with released_shuffles(spark):
+                part.repartitionById(high - low, "at").sortWithinPartitions("slot").select(full).write.option("lineSep", "\n").text(shard_path(path, low))
+        size = files(spark, layout).agg(F.sum("length")).first()[0]
+        if size != total * layout.stride:
+            raise ValueError(f"the shards have {size} bytes instead of {total * layout.stride}")
+    delete(spark, staging)
     manifest = json.dumps(asdict(layout))
     spark.createDataFrame([(manifest,)], "value string").coalesce(1).write.text(f"{path}/manifest")
     return layout
 
 
+def shard_path(path: str, first: int) -> str:
+    """The folder of the shards of one round, named after the first one's number."""
+    return f"{path}/shards/first={first}"
+
+
+def files(spark: SparkSession, layout: Layout) -> DataFrame:
+    """``(shard, length, content)`` of the shards' files."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{layout.path}/shards")
+    first, own = (F.regexp_extract("path", p, 1).cast("int") for p in (r"/first=(\d+)/", r"part-(\d+)"))
+    return found.select((first + own).alias("shard"), "length", "content")
+
+
 def open_layout(spark: SparkSession, path: str) -> Layout:
     return Layout(**json.loads(spark.read.text(f"{path}/manifest").first()[0]))
 
@@ -203,6 +233,5 @@ def read(spark: SparkSession, layout: Layout, from_slot: int = 0) -> DataFrame:
                     kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*rows), kinds)], names=["slot", "shard", "doc_id", "seq_no", "n_tokens", "ids"])
 
-    files = spark.read.format("binaryFile").load(f"{layout.path}/shards")
-    files = files.withColumn("shard", F.regexp_extract("path", r"part-(\d+)", 1).cast("int")).where(F.col("shard") >= from_slot // layout.per_shard)
-    return files.select("shard", "content").mapInArrow(run, schema)
+    wanted = files(spark, layout).where(F.col("shard") >= from_slot // layout.per_shard)
+    return wanted.select("shard", "content").mapInArrow(run, schema)

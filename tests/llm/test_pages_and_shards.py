@@ -3,6 +3,7 @@ import os
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from stratalog.llm import pieces, queries, style_tree, token_shards
 from stratalog.llm.common import Scratch
@@ -105,15 +106,72 @@ def test_shards_round_trip(spark, docs, tmp_path):
     for r in rows:
         by.setdefault(r.doc_id, {})[r.seq_no] = bytes(r.ids)
     assert {d: b"".join(s[k] for k in sorted(s)) for d, s in by.items()} == {d: t for d, t in texts.items() if t}
-    files = [f for f in os.listdir(tmp_path / "a/shards") if f.startswith("part-")]
-    sizes = sorted(os.path.getsize(tmp_path / "a/shards" / f) for f in files)
+    files = [f for f in (tmp_path / "a/shards").rglob("part-*") if f.is_file()]
+    sizes = sorted(os.path.getsize(f) for f in files)
     assert len(files) == layout.shards and all(s == 1000 * layout.stride for s in sizes[1:])
+    assert not os.path.exists(tmp_path / "a/staging")
     late = token_shards.read(spark, layout, from_slot=layout.sequences - 1500).collect()
     assert sorted(r.slot for r in late) == list(range(layout.sequences - 1500, layout.sequences))
     order = [r.doc_id for r in sorted(rows, key=lambda r: r.slot)]
     assert order != sorted(order)
 
 
+def mixed(x):
+    """The finaliser of the permutation's rounds, on Python integers."""
+    for _ in range(2):
+        x ^= x >> 32
+        x = x * 0xD6E8FEB86659FD93 % (1 << 64)
+    return x ^ (x >> 32)
+
+
+def slot_by_hand(index, n, key):
+    half = max(1, -(-(n - 1).bit_length() // 2))
+    while True:
+        left, right = index >> half, index % (1 << half)
+        for r in range(token_shards.ROUNDS):
+            left, right = right, left ^ (mixed(right ^ mixed(key * 64 + r)) % (1 << half))
+        index = (left << half) | right
+        if index < n:
+            return index
+
+
+@pytest.mark.parametrize("rounds", [1, 2, 3])
+def test_every_documents_slots(spark, docs, tmp_path, rounds):
+    """Slots and contents against a permutation worked out number by number."""
+    one = docs.select("doc_id", "text").orderBy("doc_id").coalesce(1)
+    layout = token_shards.write(one, f"file://{tmp_path}/e", length=100, per_shard=700, key=5, rounds=rounds)
+    want, index = {}, 0
+    texts = [(r.doc_id, (r.text or "").encode()) for r in one.collect()]
+    total = sum(-(-len(t) // 100) for _, t in texts)
+    for doc, text in texts:
+        for k in range(-(-len(text) // 100)):
+            want[slot_by_hand(index, total, 5)] = (doc, k, text[100 * k : 100 * k + 100])
+            index += 1
+    assert len(want) == total == layout.sequences
+    assert {r.slot: (r.doc_id, r.seq_no, bytes(r.ids)) for r in token_shards.read(spark, layout).collect()} == want
+
+
+def test_a_source_that_changes_has_one_numbering(spark, tmp_path):
+    """Texts are read once, so other texts and partitions at every reading do no harm."""
+    import uuid
+
+    fresh = F.udf(lambda i: uuid.uuid4().hex * (uuid.uuid4().int % 9)).asNondeterministic()
+    layout = token_shards.write(spark.range(300).repartition(7).select(F.col("id").alias("doc_id"), fresh("id").alias("text")), f"file://{tmp_path}/f", length=16, per_shard=64)
+    rows = token_shards.read(spark, layout).collect()
+    assert sorted(r.slot for r in rows) == list(range(layout.sequences)) and layout.sequences > 300
+    by: dict = {}
+    for r in rows:
+        by.setdefault(r.doc_id, {})[r.seq_no] = bytes(r.ids)
+    assert all(sorted(s) == list(range(len(s))) and len({s[k] for k in s if k % 2 == 0}) == 1 for s in by.values())
+
+
+def test_gaps_in_the_numbering_fail(spark):
+    rows = spark.createDataFrame([(0, 0), (0, 1), (1, 0), (1, 2)], "part long, place long")
+    with pytest.raises(ValueError, match="partition 1"):
+        token_shards.first_numbers(rows)
+    assert token_shards.first_numbers(rows.where("part = 0")) == ({0: 0}, 2)
+
+
 def test_wide_ids_and_odd_rows(spark, odd, tmp_path):
     def pack(texts):
         return [np.frombuffer(t, np.uint8).astype("<u2").tobytes() for t in texts]
