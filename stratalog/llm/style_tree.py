@@ -1,24 +1,30 @@
 """HTML extraction with a site style tree.
 
-The pages of a host are merged into one tree of element paths (tag, class, id; inline
-elements aside).  A node's presentation importance is the entropy of its sequences of
-children over the pages that have it, its content importance that of its texts, both
-to the base of the number of pages: 0 where all pages agree, 1 where each has its
-own.  A branch's composite importance joins its own presentation with the content of
-what lies below.  Branches of low importance, which many pages of the host repeat, are
-removed from each page.
-
-Entropy can't tell furniture that differs from page to page (adverts, menus with other
-links) from an article, so declared roles are part of a node's presentation: elements
-and class names for menus, footers, adverts, comments, forms and the like have
-importance 0, and where a page declares an article or main part, all outside it too.
-A class or id is a weaker sign than an element or role (``has-sidebar``, ``search-page``):
-it says nothing about html, body, an article or main part and what holds one, nor about
-a branch with half of the text or more, or all named branches where there is no other
-text.  Entropy decides about those.  An article inside an article (a comment) and what
-holds it go by their names.
-Plain blocks of an article, without class or id, are never removed: copies of one page
-would make them look repeated.  Equal pages of a host count once.
+The pages of a host are merged into one tree of element paths (tag, class, id, and the
+place among the unlabelled containers of a parent; inline elements aside).  A node's
+presentation importance is the entropy of its sequences of children over the pages that
+have it, less its share of link text; its content importance is the entropy of its
+texts; both to the base of the number of pages, 0 where all pages agree, 1 where each
+has its own.  A node's importance is composed of both and judged against its host: what
+lies under a share of the importance of the host's best node that half of the pages
+have is removed, branch by branch.
+
+On few pages entropy says little, so it is mixed with a prior that counts as ``PRIOR``
+pages: 0 for what markup declares to be something else than content (elements, roles,
+class and id words for menus, footers, adverts, comments, forms, and all outside a
+declared article or main part), else 1.  The more pages a host has, the less the prior
+says.  Menus and adverts that differ on every page can't be told from an article by
+entropy; what the tree keeps therefore still goes where an element or role declares it,
+where it lies outside a declared article, or where it is named so outside an article.
+Words of a class or id inside an article are a prior only, but for reader comments.
+They say nothing about html, body, an article or main part and what holds one, nor
+about a branch with half of the text or more, or all named branches where there is no
+other text.  An article inside an article (a comment) and what holds it go by their
+names.
+
+Never removed by the tree: plain blocks of an article, without class or id (copies of
+one page would make them look repeated), and a node with half of its host's different
+text whose pages mostly differ.  Equal pages of a host count once.
 
 Null and empty pages give the empty text.  Text outside any block counts as a block of
 its parent.  White space is Python's (``str.split``); ``br`` counts as such.
@@ -62,44 +68,70 @@ FURNITURE_NAMES = frozenset(
 CONTENT_TAGS = frozenset(["article", "main"])
 UNNAMED_TAGS = frozenset("html body article main".split())
 
-LOW, LEAST_PAGES, PRESENTATION_SHARE = 0.2, 4, 0.3
+COMMENT_NAMES = frozenset("comment comments disqus respond".split())
+PLACED = frozenset("div section table ul ol dl center fieldset".split())  # numbered among their parent's, where they have no label
+
+#: What a node must reach of its host's best, pages that the prior counts as, share of presentation in a node's importance.
+LOW, PRIOR, PRESENTATION_SHARE = 0.85, 8, 0.1
 
 
 class Node:
-    __slots__ = ("tag", "path", "gone", "named", "inside", "children", "texts", "plain")
+    __slots__ = ("tag", "path", "gone", "named", "inside", "children", "texts", "plain", "links", "placed")
 
     def __init__(self, tag: str, path: str, gone: bool, named: tuple[int, ...], inside: bool, plain: bool):
         self.tag, self.path, self.gone, self.named, self.inside, self.plain = tag, path, gone, named, inside, plain
         self.children: list[str] = []
-        self.texts: list[str] = []
+        self.texts: list[Block] = []
+        self.placed: dict[str, int] = {}
+
+
+class Block:
+    """A block's text and what markup says about it: ``role`` by an element or role, ``named`` by words of a class or id."""
+
+    __slots__ = ("path", "parts", "text", "inside", "role", "branches", "named", "comment", "links", "plain")
+
+    def __init__(self, node: Node, parts: list[tuple[str, tuple[int, ...]]], links: int):
+        self.path, self.parts, self.inside, self.role, self.branches, self.plain, self.links = node.path, parts, node.inside, node.gone, node.named, node.plain and node.inside, links
+        self.text, self.named, self.comment = "", False, False
 
 
 class Page:
-    """A page's blocks ``(path, text, inside an article)`` in order, and its block elements for the style tree.
+    """A page's blocks in order, and its block elements for the style tree.
 
-    Branches named like furniture are numbered in order.  The first reading leaves all
-    of them out and measures them; where some are to be spared, a second one keeps those.
+    Branches named like furniture are numbered in order; when all is read, those that
+    their names alone don't make furniture are spared.
     """
 
     def __init__(self, html: str):
-        self.begin(frozenset())
-        self.read(html)
-        if spared := self.misnamed():
-            self.begin(spared)
-            self.read(html)
-
-    def begin(self, spared: frozenset[int]) -> None:
-        self.spared = spared
         self.insides: list[bool] = []
+        self.comments: list[bool] = []
         self.holders: set[int] = set()
         self.content = False
         self.sizes: dict[tuple[bool, tuple[int, ...]], int] = {}
         self.nodes: list[Node] = []
-        self.blocks: list[tuple[str, str, bool]] = []
-        self.declared = False
+        self.blocks: list[Block] = []
         self.stack = [Node("", "", False, (), False, True)]
         self.open_inline: list[tuple[str, bool, tuple[int, ...]]] = []
-        self.pending: list[str] = []
+        self.pending: list[tuple[str, tuple[int, ...]]] = []
+        self.linked = 0
+        self.read(html)
+        spared = self.misnamed()
+        for x in self.blocks:
+            left = [k for k in x.branches if k not in spared]
+            x.named, x.comment = bool(left), any(self.comments[k] for k in left)
+            # Inline elements aren't nodes of the tree: in an article their names count for comments only.
+            kept = [t for t, own in x.parts if all(k in spared or (x.inside and not self.comments[k]) for k in own)]
+            x.text = " ".join("".join(kept).split())
+        self.blocks = [x for x in self.blocks if x.text]
+        self.declared = any(x.inside and not x.role and not x.named for x in self.blocks)
+
+    def furniture(self, block: Block) -> bool:
+        """Whether markup alone declares a block to be something other than content."""
+        return block.role or block.named or (self.declared and not block.inside)
+
+    def certain(self, block: Block) -> bool:
+        """The same, but for class and id words inside an article."""
+        return block.role or (self.declared and not block.inside) or (block.named and (block.comment or not block.inside))
 
     def misnamed(self) -> frozenset[int]:
         """Named branches that their names alone don't make furniture."""
@@ -117,32 +149,30 @@ class Page:
             spared |= {k for k, n in held.items() if n}
         return frozenset(spared)
 
-    def name(self, inside: bool) -> tuple[int, ...]:
+    def name(self, inside: bool, comment: bool) -> tuple[int, ...]:
         self.insides.append(inside)
+        self.comments.append(comment)
         return (len(self.insides) - 1,)
 
-    def left_out(self, named: tuple[int, ...]) -> bool:
-        return bool(named) and not self.spared.issuperset(named)
-
     def text(self, piece: str) -> None:
         top = self.stack[-1]
-        if top.gone or any(gone for _, gone, _ in self.open_inline):
+        if any(gone for _, gone, _ in self.open_inline):
             return
-        named = top.named
-        for _, _, own in self.open_inline:
-            named += own
-        at = (top.inside, named)
-        self.sizes[at] = self.sizes.get(at, 0) + len(piece.strip())
-        if not self.left_out(named):
-            self.pending.append(unescape(piece))
+        own = tuple(k for _, _, names in self.open_inline for k in names)
+        if not top.gone:
+            at = (top.inside, top.named + own)
+            self.sizes[at] = self.sizes.get(at, 0) + len(piece.strip())
+        self.pending.append((unescape(piece), own))
+        if any(tag == "a" for tag, _, _ in self.open_inline):
+            self.linked += len(piece.strip())
 
     def flush(self) -> None:
-        text = " ".join("".join(self.pending).split())
-        self.pending = []
-        top = self.stack[-1]
-        if text and not top.gone and not self.left_out(top.named):
-            self.blocks.append((top.path, text, top.inside))
-            top.texts.append(text)
+        if any(t and not t.isspace() for t, _ in self.pending):
+            top = self.stack[-1]
+            block = Block(top, self.pending, self.linked)
+            top.texts.append(block)
+            self.blocks.append(block)
+        self.pending, self.linked = [], 0
 
     def close(self, depth: int) -> None:
         self.flush()
@@ -152,7 +182,8 @@ class Page:
     def start(self, tag: str, attrs: str) -> None:
         if tag in INLINE:
             a = attributes(attrs) if attrs.strip() else {}
-            self.open_inline.append((tag, furniture(tag, a, True), self.name(self.stack[-1].inside) if furniture_name(a, True) else ()))
+            words = furniture_names(a, True)
+            self.open_inline.append((tag, furniture(tag, a, True), self.name(self.stack[-1].inside, not COMMENT_NAMES.isdisjoint(words)) if words else ()))
             return
         if tag in CLOSES_P:
             for depth in range(len(self.stack) - 1, 0, -1):
@@ -178,12 +209,16 @@ class Page:
         if first and tag in CONTENT_TAGS and not gone:
             self.content = True
             self.holders.update(named, *(own for _, _, own in self.open_inline))
-        if not first and furniture_name(a, up.inside):
-            named += self.name(up.inside)
-        node = Node(tag, f"{up.path}/{tag}" + (f"[{label}]" if label else ""), gone, named, inside, up.plain and (not label or not up.inside))
-        if not node.gone and not self.left_out(named):
-            self.declared |= inside
-            self.nodes.append(node)
+        words = () if first else furniture_names(a, up.inside)
+        if words:
+            named += self.name(up.inside, not COMMENT_NAMES.isdisjoint(words))
+        if label:
+            label = f"[{label}]"
+        elif tag in PLACED and not inside:
+            up.placed[tag] = up.placed.get(tag, 0) + 1
+            label = f":{up.placed[tag]}"
+        node = Node(tag, f"{up.path}/{tag}{label}", gone, named, inside, up.plain and (label[:1] != "[" or not up.inside))
+        self.nodes.append(node)
         up.children.append(tag)
         if tag not in VOID:
             self.stack.append(node)
@@ -217,7 +252,7 @@ class Page:
             if m["end"] or m["end2"]:
                 self.end(tag)
             elif tag == "br" or tag == "wbr":
-                self.pending.append(" " if tag == "br" else "")
+                self.pending.append((" " if tag == "br" else "", ()))
             elif tag in RAW:
                 stop = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at)
                 at = stop.end() if stop else n
@@ -244,26 +279,32 @@ def furniture(tag: str, a: dict[str, str], inside: bool) -> bool:
     return a.get("role", "").lower() in FURNITURE_ROLES
 
 
-def furniture_name(a: dict[str, str], inside: bool) -> bool:
-    """Whether a word of an element's class or id is one that furniture has."""
+def furniture_names(a: dict[str, str], inside: bool) -> set[str]:
+    """The words of an element's class or id that furniture has."""
     if not ("class" in a or "id" in a):
-        return False
-    names = NAME_PARTS.findall((a.get("class", "") + " " + a.get("id", "")).lower())
-    return not FURNITURE_NAMES.isdisjoint(names) or (not inside and "header" in names)
+        return set()
+    names = set(NAME_PARTS.findall((a.get("class", "") + " " + a.get("id", "")).lower()))
+    return (names & FURNITURE_NAMES) | (set() if inside else names & {"header"})
 
 
 def digest(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def observations(page: Page) -> list[tuple[str, int, int | None, bool]]:
-    """``(path, presentation, content or None, plain)`` for each path of a page."""
+def observations(page: Page) -> list[tuple]:
+    """``(path, presentation, content or None, size, links, prior, plain)`` for each path of a page; the last four of its texts."""
     by: dict[str, list] = {}
     for node in page.nodes:
-        own = by.setdefault(node.path, [[], [], node.plain and node.inside])
+        own = by.setdefault(node.path, [[], []])
         own[0].append(" ".join(node.children))
-        own[1] += node.texts
-    return [(path, digest("|".join(shape)), digest("\n".join(texts)) if texts else None, plain) for path, (shape, texts, plain) in by.items()]
+        own[1] += [x for x in node.texts if x.text]
+    out = []
+    for path, (shape, blocks) in by.items():
+        size = sum(len(x.text) for x in blocks)
+        free = sum(len(x.text) for x in blocks if not page.furniture(x))
+        links = 0 if all(x.inside for x in blocks) else sum(x.links for x in blocks)
+        out.append((path, digest("|".join(shape)), digest("\n".join(x.text for x in blocks)) if blocks else None, size, links, free / size if size else 1.0, bool(blocks) and all(x.plain for x in blocks)))
+    return out
 
 
 def host_of(url: str = "url"):
@@ -271,61 +312,68 @@ def host_of(url: str = "url"):
 
 
 def style_rows(pages: DataFrame) -> DataFrame:
-    """``(host, path, presentation, content, plain, page)`` of ``(host, html)``; page is a hash of all its blocks."""
+    """:func:`observations` of ``(host, html)``; ``page`` is a hash of the blocks that markup doesn't declare to be furniture."""
+    names = ["host", "path", "presentation", "content", "size", "links", "prior", "plain", "page"]
+    kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.bool_(), pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for host, html in zip(batch.column("host").to_pylist(), batch.column("html")):
                 page = Page(html.as_py() or "")
-                whole = digest("\n".join(text for _, text, _ in page.blocks))
+                whole = digest("\n".join(x.text for x in page.blocks if not page.furniture(x)))
                 out += [(host, *row, whole) for row in observations(page)]
-            kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int64())
-            columns = list(zip(*out)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds)], names=["host", "path", "presentation", "content", "plain", "page"])
+            columns = list(zip(*out)) or [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds)], names=names)
 
-    return pages.select("host", "html").mapInArrow(run, "host string, path string, presentation long, content long, plain boolean, page long")
+    return pages.select("host", "html").mapInArrow(run, "host string, path string, presentation long, content long, size long, links long, prior double, plain boolean, page long")
 
 
 def entropy(rows: DataFrame, what: str) -> DataFrame:
-    """``(host, path, pages, plain, importance)``: the entropy of ``what`` over a node's different pages."""
-    counts = rows.groupBy("host", "path", what).agg(F.count("*").alias("n"), F.max("plain").alias("plain"))
-    x = counts.groupBy("host", "path").agg(F.sum("n").alias("pages"), F.max("plain").alias("plain"), F.sum(F.col("n") * F.log("n")).alias("nlogn"))
+    """``(host, path, what)`` with an entropy of 0 to 1: that of ``what`` over the pages that have a node, to the base of their number."""
+    counts = rows.groupBy("host", "path", what).agg(F.count("*").alias("n"))
+    x = counts.groupBy("host", "path").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log("n")).alias("nlogn"))
     bits = (F.log("pages") - F.col("nlogn") / F.col("pages")) / F.log("pages")
-    return x.select("host", "path", "pages", "plain", F.when(F.col("pages") > 1, bits).otherwise(1.0).alias("importance"))
+    return x.select("host", "path", F.when(F.col("pages") > 1, bits).otherwise(1.0).alias(what))
 
 
 def importances(rows: DataFrame) -> DataFrame:
-    """``(host, path, pages, plain, importance)``: composite importance of every node of every host's tree."""
-    rows = rows.distinct()
-    own = entropy(rows.drop("content"), "presentation")
-    text = entropy(rows.where("content is not null").drop("presentation"), "content").select("host", F.col("path").alias("leaf"), F.col("pages").alias("w"), F.col("importance").alias("content"))
-    # A path's ancestors are its prefixes: each text counts for all branches that hold it.
-    steps = F.transform(F.sequence(F.lit(2), F.size(F.split("leaf", "/"))), lambda k: F.array_join(F.slice(F.split("leaf", "/"), 1, k), "/"))
-    below = text.select("host", F.explode(steps).alias("path"), "w", "content").groupBy("host", "path").agg((F.sum(F.col("w") * F.col("content")) / F.sum("w")).alias("below"), F.count("*").alias("texts"))
-    joined = own.join(below, ["host", "path"], "left")
-    leaf = F.col("texts") == 1
-    mixed = F.when(leaf, F.col("below")).otherwise(PRESENTATION_SHARE * F.col("importance") + (1 - PRESENTATION_SHARE) * F.col("below"))
-    return joined.select("host", "path", "pages", "plain", F.coalesce(mixed, F.col("importance")).alias("importance"))
+    """``(host, path, pages, plain, different, seen, importance)`` of every node with text.
+
+    ``seen`` is what its pages say, ``importance`` joins the prior to it; ``different``
+    counts the characters of its different texts.
+    """
+    # Of equal pages one counts; their furniture may differ.
+    texts = rows.where("content is not null").groupBy("host", "path", "page").agg(*(F.min(c).alias(c) for c in ("presentation", "content", "size", "links", "prior", "plain")))
+    total = texts.groupBy("host", "path").agg(F.count("*").alias("pages"), F.min("plain").alias("plain"), F.avg("prior").alias("prior"), (F.sum("links") / F.sum("size")).alias("links"))
+    different = texts.groupBy("host", "path", "content").agg(F.max("size").alias("size")).groupBy("host", "path").agg(F.sum("size").alias("different"))
+    joined = total.join(different, ["host", "path"])
+    for what in ("presentation", "content"):
+        joined = joined.join(entropy(texts, what), ["host", "path"])
+    seen = PRESENTATION_SHARE * F.col("presentation") * (1 - F.col("links")) + (1 - PRESENTATION_SHARE) * F.col("content")
+    joined = joined.withColumn("seen", seen)
+    mixed = ((F.col("pages") - 1) * F.col("seen") + PRIOR * F.col("prior")) / (F.col("pages") - 1 + PRIOR)
+    return joined.select("host", "path", "pages", "plain", "different", "content", "seen", mixed.alias("importance"))
+
+
+def weak_branches(nodes: DataFrame, low: float = LOW) -> DataFrame:
+    """``(host, path)`` of the nodes that lie under ``low`` times the importance of their host's best among those that half of its pages have."""
+    host = nodes.groupBy("host").agg(F.max("pages").alias("most"), F.sum("different").alias("all"))
+    best = nodes.join(host, "host").where(2 * F.col("pages") >= F.col("most")).groupBy("host", "all").agg(F.max("importance").alias("best"))
+    bulk = (2 * F.col("different") >= F.col("all")) & (F.col("content") >= 0.5)
+    return nodes.join(best, "host").where((F.col("importance") < low * F.col("best")) & ~F.col("plain") & ~bulk).select("host", "path")
 
 
 def main_text(html: str, dropped: frozenset[str] | set[str]) -> str:
     page = Page(html)
-    out = []
-    for path, text, inside in page.blocks:
-        if page.declared and not inside:
-            continue
-        if dropped and any(path == d or path.startswith(d + "/") for d in dropped):
-            continue
-        out.append(text)
-    return "\n".join(out)
+    return "\n".join(x.text for x in page.blocks if x.path not in dropped and not page.certain(x))
 
 
-def extract(pages: DataFrame, scratch: Scratch, url: str = "url", html: str = "html", low: float = LOW, least_pages: int = LEAST_PAGES) -> DataFrame:
+def extract(pages: DataFrame, scratch: Scratch, url: str = "url", html: str = "html", low: float = LOW) -> DataFrame:
     """Adds ``text`` and ``n_chars``; input columns of these names are replaced."""
     keep = [c for c in pages.columns if c not in ("text", "n_chars", "_host", "_drop")]
     rows = scratch.save(style_rows(pages.select(host_of(url).alias("host"), F.col(html).alias("html"))), "styles")
-    weak = importances(rows).where((F.col("importance") < low) & (F.col("pages") >= least_pages) & ~F.col("plain"))
+    weak = weak_branches(importances(rows), low)
     by_host = scratch.save(weak.groupBy(F.col("host").alias("_host")).agg(F.sort_array(F.collect_set("path")).alias("_drop")), "weak")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -56,6 +56,35 @@ def test_entropy_confirms_large_named_branches(spark):
     assert got == {r[0]: f"text number {r[0] % 20}" for r in rows}
 
 
+def test_pages_without_declared_parts(spark):
+    """Neither elements nor names say what is what: the tree tells menus and notices, which the host repeats, from texts."""
+    rows = [(i, f"http://a.com/{i}", f"<body><div><a>menu {i % 3}</a> <a>more</a></div><div><p>text {i} of its own</p><p>and {i * 7}</p></div><div>notice {i % 2}</div><div>all rights</div></body>") for i in range(40)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in style_tree.extract(df, Scratch(spark, "t")).collect()}
+    assert got == {i: f"text {i} of its own\nand {i * 7}" for i in range(40)}
+    nodes = style_tree.importances(style_tree.style_rows(df.select(style_tree.host_of().alias("host"), "html")))
+    by = {r.path: r for r in nodes.collect()}
+    assert by["/body/div:1"].importance < by["/body/div:2/p"].importance and by["/body/div:3"].seen < by["/body/div:1"].seen < 0.4
+
+
+def test_names_inside_an_article_are_a_prior_only(spark):
+    """On a host of many pages a branch of an article whose texts differ stays, whatever it is called; comments go."""
+    box = "<article><p>text {0}</p><div class='share-notice search'><p>block {0}</p></div><div class='ad'><p>buy</p></div><div id='comments'><p>said {0}</p></div></article><nav>menu {0}</nav>"
+    df = spark.createDataFrame([(i, f"http://a.com/{i}", box.format(i)) for i in range(80)] + [(99, "http://b.com/", box.format(99))], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in style_tree.extract(df, Scratch(spark, "t")).collect()}
+    assert got == {i: f"text {i}\nblock {i}" for i in range(80)} | {99: "text 99"}
+
+
+def test_odd_pages(spark):
+    """Nulls, a very large page, a url without a host, equal rows and columns of the result's names."""
+    long = "<article>" + "".join(f"<p>word {i} &amp; more</p>" for i in range(40_000)) + "</article>"
+    rows = [(None, None, None, 1, "x"), (1, "no host", long, 2, "x"), (1, "no host", long, 2, "x"), (2, "http://a.com", "", None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, n_chars int, text string")
+    got = sorted(((r.page_id or 0, r.text, r.n_chars) for r in style_tree.extract(df, Scratch(spark, "t")).collect()))
+    want = "\n".join(f"word {i} & more" for i in range(40_000))
+    assert got == [(0, "", 0), (1, want, len(want)), (1, want, len(want)), (2, "", 0)]
+
+
 def test_unclosed_quotes_take_linear_time():
     assert isinstance(style_tree.main_text("<a '" * 20_000, set()), str)
 
