@@ -3,7 +3,9 @@
 Two zstandard dictionaries, one from good and one from bad labelled text, compress
 every text in fixed blocks; the difference of the two compressed sizes over their sum
 is the evidence, and a logistic curve fitted on labelled rows that no dictionary has
-seen turns it into a probability.
+seen turns it into a probability.  The curve is fitted with each class weighing as much
+as it has among all labelled rows that may be learned from, so a score is the share of
+good ones among texts of that score.
 
 Empty and null texts give no evidence and score 0.0.  Repeated rows and equal texts
 get equal scores.  Tables without labels of both kinds give a neutral model (every
@@ -43,8 +45,11 @@ def learnable(doc_id: str | Column) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % 5 != 0
 
 
-def sample_labelled(docs: DataFrame, labels: DataFrame, per_class: int) -> dict[int, list[str]]:
-    """At most about ``per_class`` labelled texts of each class, by a hash of the id; a documented bound of the fit."""
+def sample_labelled(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple[dict[int, list[str]], dict[int, int]]:
+    """At most about ``per_class`` labelled texts of each class, by a hash of the id (a documented bound of the fit), and how many there are in all.
+
+    An id with several texts gives the least, so that the bound holds for texts too.
+    """
     marked = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality")).where(learnable("doc_id"))
     counts = {r["quality"]: r["n"] for r in marked.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     share = F.lit(0.0)
@@ -53,11 +58,11 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, per_class: int) -> dict[
     chosen = marked.where(F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(1_000_003)) < share * 1_000_003)
     # The sample's bound makes it fit for a broadcast; a sort-merge join would shuffle every text.
     few = F.broadcast(chosen.select("doc_id", "quality").limit(4 * per_class))
-    rows = docs.select("doc_id", "text").where("text is not null and text <> ''").join(few, "doc_id").select("doc_id", "quality", "text").collect()
+    rows = docs.select("doc_id", "text").where("text is not null and text <> ''").join(few, "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).collect()
     out: dict[int, list[str]] = {0: [], 1: []}
     for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"])):
         out[r["quality"]].append(r["text"])
-    return out
+    return out, counts
 
 
 def blocks(text: bytes) -> list[bytes]:
@@ -90,9 +95,9 @@ class Scorer:
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, dictionary_bytes: int = 65536) -> QualityModel:
     """Fits on at most about ``per_class`` labelled texts of each class; half build the dictionaries, half calibrate."""
-    by = sample_labelled(docs, labels, per_class)
-    total = len(by[0]) + len(by[1])
-    prior = len(by[1]) / total if total else 0.5
+    by, counts = sample_labelled(docs, labels, per_class)
+    total = sum(counts.values())
+    prior = counts.get(1, 0) / total if total else 0.5
     half = {k: (v[::2], v[1::2]) for k, v in by.items()}
     if not all(half[k][1] for k in (0, 1)):
         return QualityModel(b"", b"", 0.0, float(np.log((prior + 1e-3) / (1 - prior + 1e-3))), prior)
@@ -100,14 +105,14 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, dictionary_by
     scorer = Scorer(model.good, model.bad)
     x = np.array([scorer.evidence(t.encode("utf-8", "surrogatepass")) for k in (0, 1) for t in half[k][1]])
     y = np.array([float(k) for k in (0, 1) for _ in half[k][1]])
-    slope, bias = logistic(x, y)
+    slope, bias = logistic(x, y, prior)
     return QualityModel(model.good, model.bad, slope, bias, prior)
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
-    """Two-parameter Newton iterations with equal weight for both classes."""
+def logistic(x: np.ndarray, y: np.ndarray, share: float, ridge: float = 1e-5) -> tuple[float, float]:
+    """Two-parameter Newton iterations; class 1 has ``share`` of the weight."""
     scale = x.std() or 1.0
-    w = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
+    w = np.where(y == 1, share / max(y.sum(), 1), (1 - share) / max((1 - y).sum(), 1))
     a, theta = np.stack([x / scale, np.ones_like(x)], 1), np.zeros(2)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a @ theta, -40, 40)))
