@@ -19,7 +19,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def held_out(doc_id: str = "doc_id"):
-    return (~quality.learnable(doc_id)).alias("held_out")
+    """Whether the remainder is 0; an id that is null has none, so it isn't."""
+    return F.coalesce(~quality.learnable(doc_id), F.lit(False)).alias("held_out")
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,7 +94,8 @@ ln AS (SELECT r, source, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')
     trim(regexp_replace(regexp_replace(lower(line), '[0-9]', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) AS norm FROM raw),
 ok AS (SELECT * FROM ln WHERE n > 0),
 dup AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM ok GROUP BY r),
-common AS (SELECT source, norm FROM ok GROUP BY source, norm HAVING count(DISTINCT r) > 30),
+hosts AS (SELECT source, count(DISTINCT r) AS docs FROM ok GROUP BY source),
+common AS (SELECT f.source, norm FROM (SELECT source, norm, count(DISTINCT r) AS n FROM ok GROUP BY source, norm) f JOIN hosts h ON h.source IS NOT DISTINCT FROM f.source WHERE n > 3 AND n > 0.005 * docs),
 lost AS (SELECT ok.r, sum(CASE WHEN c.norm IS NULL THEN 0 ELSE ok.n END) AS gone, sum(ok.n) AS total FROM ok LEFT JOIN common c ON c.source IS NOT DISTINCT FROM ok.source AND c.norm = ok.norm GROUP BY ok.r),
 base AS (SELECT d.r, d.doc_id, CAST(len(w.ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(d.text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
     CAST(length(regexp_replace(d.text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words,
