@@ -8,7 +8,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Where scratch tables go if the session names no shared folder (tests on one machine).
@@ -61,13 +61,26 @@ def released_shuffles(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
-#: Rows of a few numbers each that a broadcast may hold: some 10 MB.
-BROADCAST_ROWS = 400_000
+#: Bits of the map that :func:`marked` broadcasts: 8 MB at most, whatever there is to mark.
+MAP_BITS = 1 << 26
 
 
-def if_small(df: DataFrame) -> DataFrame:
-    """A saved table of a few numbers a row, for broadcast if its counted rows allow it; a larger one is shuffled."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def marked(df: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column) -> DataFrame:
+    """``df`` with ``_maybe``: false where ``key`` is surely not among the wanted keys.
+
+    The wanted keys' hashes are marked in a map of a fixed number of bits, which is all
+    that is broadcast, so that what isn't wanted needs no shuffle.  The more keys are
+    wanted, the more others pass; a join with them decides.
+    """
+    place = lambda k: F.pmod(F.xxhash64(k), F.lit(MAP_BITS)) + 1
+    spots = wanted.select(place(wanted_key).alias("_spot"))
+    bits = spots.groupBy(F.bitmap_bucket_number("_spot").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_spot")).alias("_bits"))
+    at = df.withColumn("_spot", place(key))
+    at = at.withColumn("_at", F.bitmap_bit_position("_spot").cast("int")).withColumn("_bucket", F.bitmap_bucket_number("_spot"))
+    found = at.join(F.broadcast(bits), "_bucket", "left")
+    byte = F.conv(F.hex(F.substring("_bits", (F.col("_at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.coalesce(F.expr("shiftright(_byte, _at % 8) & 1") == 1, F.lit(False))
+    return found.withColumn("_byte", byte).withColumn("_maybe", bit).select(*df.columns, "_maybe")
 
 
 def partitions(spark: SparkSession) -> int:

@@ -13,17 +13,24 @@ by H; its token universe is hashed into segments.
 A cost model (signatures, and those too small to select) allocates one of the two to
 each band, the same for all tables.  Sets that share a signature are candidates;
 parity sketches reject pairs whose symmetric difference must be too large, never one
-within the threshold; what is left is verified on the shingles of the texts.
+within the threshold; what is left is verified on the words of the texts.
 
 Groups of copies never expand into pairs.  Equal sets are one class.  Classes in one
 bucket are first linked to its smallest class, then to their nearest class of another
 component, and last every pair of different components in one bucket that the sketch
 can't reject is verified.  A pair inside a component can't change the result, so the
-components are those of all links.
+components are those of all links.  A bucket is dealt in blocks of some hundred classes,
+each pair of blocks to a task of its own, so that no task holds a bucket; the work still
+grows with the square of a bucket whose classes aren't linked.
+
+Texts that are not in question pass a map of marked ids and are never shuffled, at any
+size of the input.
 
 Null and empty texts and texts without a word have an empty set and are linked with
 nothing.  Rows without an id get a set size and no component.  Rows with equal id and
-text are one document.  64-bit hashes stand for shingles and sets.
+text are one document.  In the search 64-bit hashes stand for shingles and sets.  Sets of
+one hash are one class; a second hash must agree, or the run fails and asks for another
+``salt``.
 """
 
 from __future__ import annotations
@@ -37,11 +44,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, if_small, mix64, mix_int, partitions, pieces, utf8
-from .shingles import WordHasher, shingle_sets
+from .common import Scratch, components, marked, mix64, mix_int, partitions, pieces, utf8
+from .shingles import WordHasher, exact_overlap, shingle_sets
 
 BYTES = 1 << 20  # text bytes worked on at once
-SEGMENT_SALT, SUM_SALT, CLASS_SALT, SKETCH_SALT, SIGN_SALT, DELETE_SALT = (np.uint64(mix_int(300 + i) | 1) for i in range(6))
+BLOCK = 512  # classes of a bucket that a task compares with as many others
+SEGMENT_SALT, SUM_SALT, CLASS_SALT, SKETCH_SALT, SIGN_SALT, CHECK_SALT = (np.uint64(mix_int(300 + i) | 1) for i in range(6))
 
 
 def most_errors(total, percent: int):
@@ -101,8 +109,8 @@ class Bands:
 class SetBuilder:
     """Sets, classes, sketches and signatures of a batch of texts."""
 
-    def __init__(self, size: int, percent: int):
-        self.size, self.percent = size, percent
+    def __init__(self, size: int, percent: int, salt: int = 0):
+        self.size, self.percent, self.salt = size, percent, np.uint64(mix_int(salt)) if salt else np.uint64(0)
         self.hasher, self.bands = WordHasher(), Bands(percent)
 
     def sets(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -111,11 +119,13 @@ class SetBuilder:
         row, token = shingle_sets(*self.hasher(data, offsets), rows, self.size)
         return row, token, np.bincount(row, minlength=rows)
 
-    def classes(self, row: np.ndarray, token: np.ndarray, n: np.ndarray) -> np.ndarray:
+    def classes(self, row: np.ndarray, token: np.ndarray, n: np.ndarray, key: np.uint64 = CLASS_SALT) -> np.ndarray:
         """A hash of each set as a whole; 0 for an empty one."""
         total = np.zeros(len(n), dtype=np.uint64)
-        np.add.at(total, row, mix64(token ^ CLASS_SALT))
-        return np.where(n > 0, mix64(total + n.astype(np.uint64) * CLASS_SALT) | np.uint64(1), np.uint64(0))
+        full = np.flatnonzero(n > 0)
+        if len(full):  # tokens are sorted by row
+            total[full] = np.add.reduceat(mix64(token ^ key ^ self.salt), (np.cumsum(n) - n)[full])
+        return np.where(n > 0, mix64(total + n.astype(np.uint64) * key) | np.uint64(1), np.uint64(0))
 
     def sketches(self, row: np.ndarray, token: np.ndarray, n: np.ndarray) -> list[bytes]:
         """Parities of hashed tokens, eight times as many bits as the errors allowed."""
@@ -169,11 +179,11 @@ def sketch_bits(n: int, percent: int) -> int:
     return max(64, 1 << (8 * errors).bit_length())
 
 
-def class_rows(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """``(doc_id, n_shingles, cls, sketch)`` per row of ``docs``."""
+def class_rows(docs: DataFrame, size: int, percent: int, salt: int = 0) -> DataFrame:
+    """``(doc_id, n_shingles, cls, other, sketch)`` per row of ``docs``; ``other`` is a second hash of the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        b = SetBuilder(size, percent)
+        b = SetBuilder(size, percent, salt)
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
             for low, high in pieces(offsets, BYTES):
@@ -181,19 +191,19 @@ def class_rows(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 row, token, n = b.sets(data[at[0] : at[-1]], at - at[0])
                 cls = b.classes(row, token, n)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(low, high - low), pa.array(n.astype(np.int64)), pa.array(cls.view(np.int64)), pa.array(b.sketches(row, token, n), type=pa.binary())],
-                    names=["doc_id", "n_shingles", "cls", "sketch"],
+                    [batch.column("doc_id").slice(low, high - low), pa.array(n.astype(np.int64)), pa.array(cls.view(np.int64)), pa.array(b.classes(row, token, n, CHECK_SALT).view(np.int64)), pa.array(b.sketches(row, token, n), type=pa.binary())],
+                    names=["doc_id", "n_shingles", "cls", "other", "sketch"],
                 )
 
-    schema = docs.select("doc_id").schema.add("n_shingles", "long").add("cls", "long").add("sketch", "binary")
+    schema = docs.select("doc_id").schema.add("n_shingles", "long").add("cls", "long").add("other", "long").add("sketch", "binary")
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def signature_rows(docs: DataFrame, size: int, percent: int) -> DataFrame:
+def signature_rows(docs: DataFrame, size: int, percent: int, salt: int = 0) -> DataFrame:
     """``(sig, cls)``, once for each class of a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        b = SetBuilder(size, percent)
+        b = SetBuilder(size, percent, salt)
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
             seen: set[int] = set()
@@ -273,106 +283,122 @@ def possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return fit.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long, gap long")
 
 
+def block_cells(placed: DataFrame) -> DataFrame:
+    """Rows ``(sig, cls, comp, one, two, block)`` of the buckets with several components, from ``(sig, cls, comp)``.
+
+    A bucket's classes are dealt to blocks by hash; each pair of blocks ``one <= two`` is a
+    cell, to which both blocks go.
+    """
+    mixed = placed.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("held")).where("low <> high")
+    mixed = mixed.select("sig", F.ceil(F.col("held") / BLOCK).cast("int").alias("blocks"))
+    rows = placed.join(mixed, "sig").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.select("sig", "cls", "comp", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("two"), "block")
+
+
 def bucket_pairs(rows: DataFrame, n: int, percent: int, every: bool) -> DataFrame:
-    """Pairs of different components in one bucket that the sketch allows, from rows ``(sig, cls, comp, n, sketch)``.
+    """Pairs of different components in one cell that the sketch allows, from rows ``(sig, one, two, block, cls, comp, n, sketch)``.
 
-    With ``every`` all of them, else each class's nearest.  Classes of a bucket's
-    largest component meet only those of the others.
+    With ``every`` all of them, else each class's nearest.  Classes of a cell's largest
+    component meet only those of the others.
     """
 
-    def pairs(cls: list[int], comp: np.ndarray, size: np.ndarray, sketch: list[bytes]) -> Iterator[tuple[int, int]]:
+    def pairs(block: np.ndarray, cls: list[int], comp: np.ndarray, size: np.ndarray, sketch: list[bytes]) -> Iterator[tuple[int, int]]:
         names, count = np.unique(comp, return_counts=True)
         largest = names[count.argmax()]
-        bucket, place = Sketches(sketch, size, percent), np.arange(len(comp))
+        cell, place, across = Sketches(sketch, size, percent), np.arange(len(comp)), block.min() != block.max()
         for i in np.flatnonzero(comp != largest):
             wanted = comp != comp[i]
+            if across:  # pairs within a block have a cell of their own
+                wanted &= block != block[i]
             if every:
                 wanted &= (comp == largest) | (place > i)
-            gap = bucket.gaps(sketch[i], int(size[i]), wanted)
+            gap = cell.gaps(sketch[i], int(size[i]), wanted)
             found = np.flatnonzero(gap >= 0)
             if not every and len(found):
                 found = found[[gap[found].argmin()]]
             for j in found:
                 yield (cls[i], cls[j]) if cls[i] < cls[j] else (cls[j], cls[i])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[int, list] | None = None
-        out: set[tuple[int, int]] = set()
-
-        def flush(rows: list) -> None:
-            cls, comp, size, sketch = zip(*rows)
-            comp = np.array(comp)
-            if (comp != comp[0]).any():
-                out.update(pairs(list(cls), comp, np.array(size), list(sketch)))
-
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+        held: list[tuple] = []
+        at = None
         for batch in batches:
-            for sig, *rest in zip(*(batch.column(c).to_pylist() for c in ("sig", "cls", "comp", "n", "sketch"))):
-                if held is None or held[0] != sig:
+            for sig, one, two, *rest in zip(*(batch.column(c).to_pylist() for c in ("sig", "one", "two", "block", "cls", "comp", "n", "sketch"))):
+                if at != (sig, one, two):
                     if held:
-                        flush(held[1])
-                    held = (sig, [])
-                held[1].append(rest)
-            if len(out) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in zip(*out)], names=["a", "b"])
-                out.clear()
+                        yield held
+                    at, held = (sig, one, two), []
+                held.append(rest)
         if held:
-            flush(held[1])
+            yield held
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: set[tuple[int, int]] = set()
+        for held in cells(batches):
+            block, cls, comp, size, sketch = zip(*held)
+            comp = np.array(comp)
+            if (comp == comp[0]).all():
+                continue
+            for pair in pairs(np.array(block), list(cls), comp, np.array(size), list(sketch)):
+                out.add(pair)
+                if len(out) >= 50_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in zip(*out)], names=["a", "b"])
+                    out.clear()
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in zip(*out)], names=["a", "b"])
 
-    return rows.select("sig", "cls", "comp", "n", "sketch").repartition(n, "sig").sortWithinPartitions("sig").mapInArrow(run, "a long, b long").distinct()
+    cell = ["sig", "one", "two"]
+    return rows.select(*cell, "block", "cls", "comp", "n", "sketch").repartition(n, *cell).sortWithinPartitions(*cell).mapInArrow(run, "a long, b long").distinct()
 
 
-def verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The ``(a, b)`` whose texts' sets are within the threshold; ``texts`` has ``(cls, text)``.
+def verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int, salt: int = 0) -> DataFrame:
+    """The ``(a, b)`` whose texts' sets, compared word by word, are within the threshold; ``texts`` has ``(cls, text)``.
 
-    Each side picks its texts from the saved pairs by itself, so that few pairs need
-    no shuffle of all texts; the two then meet by pair.
+    Each side picks its texts from the saved pairs by itself; the two then meet by pair.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        b = SetBuilder(size, percent)
+        b = SetBuilder(size, percent, salt)
         for whole in batches:
             for start in range(0, whole.num_rows, 256):
                 batch = whole.slice(start, 256)
-                one, two = ((*b.sets(*utf8(batch.column(c))),) for c in ("ta", "tb"))
-                row, token = np.concatenate([one[0], two[0]]), np.concatenate([one[1], two[1]])
-                order = np.lexsort((token, row))
-                row, token = row[order], token[order]
-                same = (row[1:] == row[:-1]) & (token[1:] == token[:-1])
-                both = np.bincount(row[1:][same], minlength=batch.num_rows)
-                good = 100 * both >= percent * (one[2] + two[2] - both)
-                for s, c in ((one, "a"), (two, "b")):  # an id may have other texts as well
-                    good &= b.classes(*s).view(np.int64) == batch.column(c).to_numpy()
+                good = np.ones(batch.num_rows, dtype=bool)
+                for column, c in (("ta", "a"), ("tb", "b")):  # an id may have other texts as well
+                    good &= b.classes(*b.sets(*utf8(batch.column(column)))).view(np.int64) == batch.column(c).to_numpy()
+                for i in np.flatnonzero(good):
+                    one, two, both = exact_overlap(*(batch.column(c)[int(i)].as_py().encode() for c in ("ta", "tb")), size)
+                    good[i] = 100 * both >= percent * (one + two - both)
                 yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(good))
 
-    few = if_small(pairs.select("a", "b"))
-    one = texts.select(F.col("cls").alias("a"), F.col("text").alias("ta")).join(few, "a")
-    two = texts.select(F.col("cls").alias("b"), F.col("text").alias("tb")).join(few, "b")
+    one = texts.select(F.col("cls").alias("a"), F.col("text").alias("ta")).join(pairs.select("a", "b"), "a")
+    two = texts.select(F.col("cls").alias("b"), F.col("text").alias("tb")).join(pairs.select("a", "b"), "b")
     return one.join(two, ["a", "b"]).select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def join(docs: DataFrame, scratch: Scratch, size: int = 5, percent: int = 80) -> DataFrame:
+def join(docs: DataFrame, scratch: Scratch, size: int = 5, percent: int = 80, salt: int = 0) -> DataFrame:
     """``(doc_id, n_shingles, component_id)``: the smallest id that links of ``percent`` Jaccard similarity reach, itself included."""
     spark = scratch.spark
-    rows = scratch.save(class_rows(docs, size, percent), "rows")
+    rows = scratch.save(class_rows(docs, size, percent, salt), "rows")
     some = rows.where("n_shingles > 0 and doc_id is not null")
-    classes = scratch.save(some.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "classes")
-    live = scratch.save(live_buckets(signature_rows(docs, size, percent)), "live")
-    known = scratch.save(live.select("cls").distinct().join(classes, "cls"), "known")
-    texts = scratch.save(docs.select("doc_id", "text").join(if_small(known.select("cls", "rep")), F.col("doc_id") == F.col("rep")).select("cls", "text"), "texts")
+    classes = scratch.save(some.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.min("other").alias("low"), F.max("other").alias("high"), F.first("sketch").alias("sketch")), "classes")
+    if not classes.where("low <> high").isEmpty():
+        raise ValueError("two different sets have one hash: join with another salt")
+    live = scratch.save(live_buckets(signature_rows(docs, size, percent, salt)), "live")
+    known = scratch.save(live.select("cls").distinct().join(classes.drop("low", "high"), "cls"), "known")
+    some_texts = marked(docs.select("doc_id", "text"), F.col("doc_id"), known, F.col("rep")).where("_maybe")
+    texts = scratch.save(some_texts.join(known.select("cls", "rep"), F.col("doc_id") == F.col("rep")).select("cls", "text"), "texts")
     star = live.where("cls <> head").select(F.col("cls").alias("a"), F.col("head").alias("b")).distinct()
     near = possible(star, known, percent).groupBy("a").agg(F.min_by(F.col("b"), F.struct("gap", "b")).alias("b"))
     tested = scratch.save(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "tested-0")
-    links = scratch.save(verify(tested, texts, size, percent), "links-0")
+    links = scratch.save(verify(tested, texts, size, percent, salt), "links-0")
     for turn, every in ((1, False), (2, True)):
         found = components(scratch, links, f"part-{turn}").select(F.col("node").alias("cls"), F.col("root").alias("comp"))
         placed = live.select("sig", "cls").join(found, "cls", "left").select("sig", "cls", F.coalesce("comp", "cls").alias("comp"))
-        mixed = placed.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("sig")
-        open_ = placed.join(mixed, "sig").join(known.select("cls", "n", "sketch"), "cls")
+        open_ = block_cells(placed).join(known.select("cls", "n", "sketch"), "cls")
         pairs = bucket_pairs(open_, partitions(spark), percent, every).join(tested, ["a", "b"], "left_anti")
         pairs = scratch.save(pairs, f"tested-{turn}")
-        links = links.unionByName(scratch.save(verify(pairs, texts, size, percent), f"links-{turn}"))
+        links = links.unionByName(scratch.save(verify(pairs, texts, size, percent, salt), f"links-{turn}"))
         tested = tested.unionByName(pairs)
     found = components(scratch, links, "whole").select(F.col("node").alias("cls"), "root")
     reps = found.join(classes.select("cls", "rep"), "cls")

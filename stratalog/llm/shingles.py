@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 
-from .common import Powers, byte_weights, mix64, mix_int
+from .common import mix64, mix_int
 
 #: ASCII white space, the only bytes that part words.
 GAP = np.zeros(256, dtype=bool)
@@ -19,11 +20,14 @@ SHORT = [np.uint64(mix_int(200 + i)) for i in range(WORDS_MAX)]
 LENGTH = np.uint64(mix_int(3) | 1)
 
 
+#: A-Z count as a-z.
+LOWER = np.arange(256, dtype=np.uint64)
+LOWER[65:91] += np.uint64(32)
+PLACE = np.uint64(mix_int(17) | 1)
+
+
 class WordHasher:
-    def __init__(self):
-        self.powers = Powers()
-        self.weights = byte_weights(17)
-        self.weights[65:91] = self.weights[97:123]  # A-Z count as a-z
+    """A word's hash is the sum of its bytes' hashes, each mixed with its place in the word: no pattern of bytes makes collisions likelier."""
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all words in order, and each one's row; ``offsets`` start at 0."""
@@ -44,12 +48,11 @@ class WordHasher:
                 out[i] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
                 i += 1
                 continue
-            a, b = int(start[i]), int(end[j - 1])
-            up, down = self.powers.get(b - a + 1)
-            total = np.zeros(b - a + 1, dtype=np.uint64)
-            np.cumsum(self.weights[data[a:b]] * up[: b - a], out=total[1:])
-            s, e = start[i:j] - a, end[i:j] - a
-            out[i:j] = (total[e] - total[s]) * down[s]
+            size = end[i:j] - start[i:j]
+            first = np.cumsum(size) - size
+            place = np.arange(size.sum()) - np.repeat(first, size)
+            code = LOWER[data[np.repeat(start[i:j], size) + place]] + (place.astype(np.uint64) << np.uint64(8))
+            out[i:j] = np.add.reduceat(mix64((code + np.uint64(1)) * PLACE), first)
             i = j
         return mix64(out + (end - start).astype(np.uint64) * LENGTH), row
 
@@ -86,3 +89,23 @@ def shingle_sets(words: np.ndarray, row: np.ndarray, rows: int, size: int) -> tu
     fresh = np.ones(len(h), dtype=bool)
     fresh[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
     return owner[fresh], h[fresh]
+
+
+WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+def exact_overlap(a: bytes, b: bytes, size: int) -> tuple[int, int, int]:
+    """Sizes of two texts' sets of shingles and of their intersection, by the words themselves."""
+    numbers: dict[bytes, int] = {}
+    columns = []
+    for text in (a, b):
+        words = np.array([numbers.setdefault(w, len(numbers) + 1) for w in WORDS.findall(text.lower())], dtype=np.int64)
+        if 0 < len(words) < size:  # the whole sequence; 0 is no word
+            words = np.concatenate([words, np.zeros(size - len(words), np.int64)])
+        columns.append([words[i : len(words) - size + 1 + i] for i in range(size)] if len(words) else [words] * size)
+    code = np.concatenate([c[0] for c in columns])
+    for i in range(1, size):
+        _, code = np.unique(code * (len(numbers) + 1) + np.concatenate([c[i] for c in columns]), return_inverse=True)
+    split = len(columns[0][0])
+    one, two = np.unique(code[:split]), np.unique(code[split:])
+    return len(one), len(two), len(np.intersect1d(one, two, assume_unique=True))

@@ -13,14 +13,21 @@ What makes shards exact is how they are filled:
   different cells with a common anchor goes to the shards as text, and all with one
   anchor go to the same.
 
+* An anchor that many different cells share (a passage that stands in a third of all
+  texts, with other words around it) would fill one shard.  Such cells become texts of
+  their own and are cut again by anchors of another hash, which lie in the words around
+  the passage for what differs and in the passage for what is equal.
+
 Only anchors (about one in sixty bytes) and the texts of cells with a partly different
 twin are shuffled.  Equal cells are counted before they are dealt, so a group of copies
-meets as a few rows and never as text.
+meets as a few rows and never as text.  Texts without a repeated window, as far as a map
+of marked keys tells, pass without a shuffle.
 
 Nulls are empty texts, which have no window.  Equal rows are separate places, so a
 text that occurs in two rows is removed from both.  Removed runs are judged on bytes;
-``kept_text`` drops a run's whole characters only.  64-bit hashes stand for anchors
-and for whole cells.
+``kept_text`` drops a run's whole characters only.  Hashes of 64 bits each stand for
+anchors and whole cells, which are compared only together; a row is known by a 64-bit
+hash of id and text, the text's length and its CRC-32.
 """
 
 from __future__ import annotations
@@ -33,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Powers, Scratch, byte_weights, mix64, mix_int, partitions, utf8
+from .common import Powers, Scratch, byte_weights, marked, mix64, mix_int, partitions, utf8
 from .suffixes import common_prefixes, suffix_array
 
 LENGTH, GRAM = 200, 64
@@ -42,13 +49,15 @@ STRETCH = 1 << 17
 PLACE_BITS = 18
 #: Text of a shard; one anchor's cells are never parted.
 SHARD = 1 << 20
+#: Different cells of one anchor that one shard takes; more are cut again, at most ``DEEPEST`` times.
+CROWD, DEEPEST = 256, 3
 CELL_SALT = np.uint64(mix_int(41) | 1)
 
 
 class CellCutter:
-    def __init__(self, length: int = LENGTH, gram: int = GRAM):
+    def __init__(self, length: int = LENGTH, gram: int = GRAM, seed: int = 0):
         self.length, self.gram, self.reach = length, gram, length - gram + 1
-        self.powers, self.weights = Powers(), byte_weights(23)
+        self.powers, self.weights = Powers(), byte_weights(23 + 1000 * seed)
 
     def stretches(self, offsets: np.ndarray) -> Iterator[tuple[int, int]]:
         """Byte ranges of whole texts up to STRETCH, or of a longer text, overlapping so that each window lies in one."""
@@ -105,52 +114,56 @@ class CellCutter:
         return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def cell_rows(texts: DataFrame, length: int, gram: int, once: bool) -> DataFrame:
-    """``(anchor, key, low, high, cell, n)`` of ``(key, text)``: every cell, or ``once`` for all ``n`` equal ones of some hundred texts."""
+def cell_rows(texts: DataFrame, length: int, gram: int, once: bool, seed: int = 0) -> DataFrame:
+    """``(anchor, key, tail, low, high, cell, n)`` of ``(key, tail, text)``: every cell, or ``once`` for all ``n`` equal ones of some hundred texts."""
+    names = ["anchor", "key", "tail", "low", "high", "cell", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter = CellCutter(length, gram)
+        cutter = CellCutter(length, gram, seed)
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
                 anchor, row, low, high, cell = cutter.cells(*utf8(batch.column("text")))
-                key, n = batch.column("key").to_numpy()[row], np.ones(len(cell), dtype=np.int64)
+                key, tail, n = batch.column("key").to_numpy()[row], batch.column("tail").to_numpy()[row], np.ones(len(cell), dtype=np.int64)
                 if once:
-                    _, first, n = np.unique(cell, return_index=True, return_counts=True)
-                    anchor, key, low, high, cell = (x[first] for x in (anchor, key, low, high, cell))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor.view(np.int64), key, low, high, cell.view(np.int64), n)], names=["anchor", "key", "low", "high", "cell", "n"])
+                    _, first, n = np.unique(np.stack([anchor, cell], 1), axis=0, return_index=True, return_counts=True) if len(cell) else (None, slice(0), n)
+                    anchor, key, tail, low, high, cell = (x[first] for x in (anchor, key, tail, low, high, cell))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor.view(np.int64), key, tail, low, high, cell.view(np.int64), n)], names=names)
 
-    return texts.mapInArrow(run, "anchor long, key long, low long, high long, cell long, n long")
+    return texts.mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def shared_cells(cells: DataFrame) -> DataFrame:
     """One row for each cell that isn't alone with its anchor: ``whole``, if there are equal ones, and ``shown``, if there are different ones."""
-    w = Window.partitionBy("anchor").orderBy("cell", "key", "low")
+    w = Window.partitionBy("anchor").orderBy("cell", "key", "tail", "low")
     group = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     rows = cells.withColumn("before", F.lag("cell").over(w)).withColumn("after", F.lead("cell").over(w))
     rows = rows.withColumn("least", F.first("cell").over(w)).withColumn("most", F.last("cell").over(group))
     rows = rows.where(F.col("before").isNull() | (F.col("before") != F.col("cell")))
     whole = (F.col("n") > 1) | F.coalesce(F.col("after") == F.col("cell"), F.lit(False))
-    return rows.select("anchor", "cell", "key", "low", "high", whole.alias("whole"), (F.col("least") != F.col("most")).alias("shown")).where("whole or shown")
+    return rows.select("anchor", "cell", "key", "tail", "low", "high", whole.alias("whole"), (F.col("least") != F.col("most")).alias("shown")).where("whole or shown")
 
 
 def shown_texts(cells: DataFrame, texts: DataFrame, length: int) -> DataFrame:
-    """``(anchor, key, low, whole, bytes)`` of the cells whose texts the shards need."""
-    need = cells.where("shown").groupBy("key").agg(F.collect_list(F.struct("low", "high", "anchor", "whole")).alias("cells"))
+    """``(anchor, key, tail, low, whole, bytes)`` of the cells whose texts the shards need."""
+    need = cells.where("shown").groupBy("key", "tail").agg(F.collect_list(F.struct("low", "high", "anchor", "whole")).alias("cells"))
+    names = ["anchor", "key", "tail", "low", "whole", "bytes"]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 128):
                 batch = whole.slice(at, 128)
                 out = []
-                for key, text, own in zip(batch.column("key").to_pylist(), batch.column("text").cast(pa.large_binary()), batch.column("cells").to_pylist()):
+                for key, tail, text, own in zip(batch.column("key").to_pylist(), batch.column("tail").to_pylist(), batch.column("text").cast(pa.large_binary()), batch.column("cells").to_pylist()):
                     data = text.as_py()
-                    out += [(c["anchor"], key, c["low"], c["whole"], data[c["low"] : c["high"] + length]) for c in own]
-                columns = list(zip(*out)) or [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(x, type=k) for x, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()))], names=["anchor", "key", "low", "whole", "bytes"])
+                    out += [(c["anchor"], key, tail, c["low"], c["whole"], data[c["low"] : c["high"] + length]) for c in own]
+                columns = list(zip(*out)) or [[]] * len(names)
+                yield pa.RecordBatch.from_arrays([pa.array(x, type=k) for x, k in zip(columns, kinds)], names=names)
 
+    some = marked(texts, F.col("key"), need, F.col("key")).where("_maybe").drop("_maybe")
     # Equal rows have one key and equal texts: any of them serves, so one is enough.
-    return texts.join(need, "key").mapInArrow(run, "anchor long, key long, low long, whole boolean, bytes binary").dropDuplicates(["anchor", "key", "low"])
+    return some.join(need, ["key", "tail"]).mapInArrow(run, "anchor long, key long, tail long, low long, whole boolean, bytes binary").dropDuplicates(["anchor", "key", "tail", "low"])
 
 
 def repeated_windows(cells: list[bytes], length: int) -> list[np.ndarray]:
@@ -175,7 +188,7 @@ def runs(sorted_: np.ndarray) -> list[tuple[int, int]]:
 
 
 def shard_ranges(texts: DataFrame, n: int, length: int) -> DataFrame:
-    """``(key, low, high)``: ranges of repeated windows that the shards' suffix arrays find."""
+    """``(key, tail, low, high)``: ranges of repeated windows that the shards' suffix arrays find."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -183,22 +196,44 @@ def shard_ranges(texts: DataFrame, n: int, length: int) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             out = []
-            for (_, key, low, whole, _), found in zip(held, repeated_windows([c[4] for c in held], length)):
+            for (_, key, tail, low, whole, _), found in zip(held, repeated_windows([c[5] for c in held], length)):
                 if not whole:
-                    out += [(key, low + a, low + b) for a, b in runs(found)]
-            return pa.RecordBatch.from_arrays([pa.array(x, type=pa.int64()) for x in (list(zip(*out)) or [[]] * 3)], names=["key", "low", "high"])
+                    out += [(key, tail, low + a, low + b) for a, b in runs(found)]
+            return pa.RecordBatch.from_arrays([pa.array(x, type=pa.int64()) for x in (list(zip(*out)) or [[]] * 4)], names=["key", "tail", "low", "high"])
 
         for batch in batches:
-            for cell in zip(*(batch.column(c).to_pylist() for c in ("anchor", "key", "low", "whole", "bytes"))):
+            for cell in zip(*(batch.column(c).to_pylist() for c in ("anchor", "key", "tail", "low", "whole", "bytes"))):
                 if size >= SHARD and cell[0] != last:
                     yield flush()
                     held, size = [], 0
                 held.append(cell)
-                size, last = size + len(cell[4]), cell[0]
+                size, last = size + len(cell[5]), cell[0]
         if held:
             yield flush()
 
-    return texts.repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(run, "key long, low long, high long")
+    return texts.repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(run, "key long, tail long, low long, high long")
+
+
+def repeated_ranges(texts: DataFrame, scratch: Scratch, length: int, gram: int, depth: int = 0) -> DataFrame:
+    """``(key, tail, low, high)``: ranges of the windows of ``(key, tail, text)`` that occur twice or more."""
+    save = lambda df, name: scratch.save(df, f"{name}-{depth}")
+    shared = save(shared_cells(cell_rows(texts, length, gram, True, depth)), "shared")
+    # Places of equal cells may be a third of all: they meet the list of such cells in a join, which can split them.
+    equal = shared.where("whole").select("anchor", "cell")
+    whole = save(cell_rows(texts, length, gram, False, depth).join(equal, ["anchor", "cell"], "left_semi").select("key", "tail", "low", "high"), "whole")
+    crowds = shared.where("shown").groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("anchor")
+    shown = save(shown_texts(shared, texts, length), "shown")
+    crowded = shown.join(crowds, "anchor", "left_semi")
+    if depth == DEEPEST or crowded.isEmpty():
+        return save(shard_ranges(shown, partitions(scratch.spark), length), "ranges").union(whole)
+    ranges = save(shard_ranges(shown.join(crowds, "anchor", "left_anti"), partitions(scratch.spark), length), "ranges")
+    # A cell alone of its kind has a repeated window only where another cell has it, so cells are texts here.
+    name = (F.xxhash64("key", "tail", "low"), F.xxhash64("low", "anchor", "tail", "key"))
+    cells = save(crowded.select(name[0].alias("key"), name[1].alias("tail"), F.col("bytes").alias("text"), F.col("key").alias("of"), F.col("tail").alias("of_tail"), F.col("low").alias("start"), "whole"), "cells")
+    inner = repeated_ranges(cells.select("key", "tail", "text"), scratch, length, gram, depth + 1)
+    places = cells.where("not whole").select("key", "tail", "of", "of_tail", "start")
+    back = inner.join(places, ["key", "tail"]).select(F.col("of").alias("key"), F.col("of_tail").alias("tail"), (F.col("low") + F.col("start")).alias("low"), (F.col("high") + F.col("start")).alias("high"))
+    return ranges.union(whole).union(back)
 
 
 def covered(ranges: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
@@ -236,18 +271,13 @@ MADE = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
 def dedup(docs: DataFrame, scratch: Scratch, text: str = "text", length: int = LENGTH, gram: int = GRAM, with_text: bool = False) -> DataFrame:
     """Adds ``n_bytes, n_removed, n_spans, kept_sha256`` (and ``kept_text`` if asked for); input columns of these names are replaced."""
     made = MADE[: 4 + with_text]
-    keep = [c for c in docs.columns if c not in (*made, "_key", "_ranges")]
+    keep = [c for c in docs.columns if c not in (*made, "_key", "_tail", "_ranges", "_maybe", "_spot", "_at", "_bucket", "_bits", "_byte")]
     key = F.xxhash64(*[F.col(c).cast("string") for c in ("doc_id", text) if c in docs.columns])
     body = F.coalesce(F.encode(F.col(text), "UTF-8"), F.lit(b""))
-    long_ = docs.where(F.octet_length(text) >= length).select(key.alias("key"), body.alias("text"))
-    shared = scratch.save(shared_cells(cell_rows(long_, length, gram, True)), "shared")
-    # Places of equal cells may be a third of all: they meet the list of such cells in a join, which can split them.
-    equal = shared.where("whole").select("anchor", "cell")
-    whole = scratch.save(cell_rows(long_, length, gram, False).join(equal, ["anchor", "cell"], "left_semi").select("key", "low", "high"), "whole")
-    shown = shown_texts(shared, long_, length)
-    ranges = scratch.save(shard_ranges(shown, partitions(scratch.spark), length), "ranges")
-    every = ranges.union(whole)
-    by_key = every.groupBy(F.col("key").alias("_key")).agg(F.collect_list(F.struct("low", "high")).alias("_ranges"))
+    tail = F.octet_length(body).cast("long") * F.lit(1 << 32) + F.crc32(body)
+    long_ = docs.where(F.octet_length(text) >= length).select(key.alias("key"), tail.alias("tail"), body.alias("text"))
+    every = scratch.save(repeated_ranges(long_, scratch, length, gram), "every")
+    by_key = every.groupBy(F.col("key").alias("_key"), F.col("tail").alias("_tail")).agg(F.collect_list(F.struct("low", "high")).alias("_ranges"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -267,5 +297,8 @@ def dedup(docs: DataFrame, scratch: Scratch, text: str = "text", length: int = L
     schema = docs.select(*keep).schema
     for name in made:
         schema = schema.add(name, "string" if name.startswith("kept") else "long")
-    marked = docs.select(*dict.fromkeys([*keep, text])).withColumn("_key", key).join(by_key, "_key", "left")
-    return marked.select(*dict.fromkeys([*keep, text]), "_ranges").mapInArrow(run, schema)
+    rows = docs.select(*dict.fromkeys([*keep, text])).withColumn("_key", key).withColumn("_tail", tail)
+    rows = marked(rows, F.col("_key"), every, F.col("key"))
+    cut_ = rows.where("_maybe").join(by_key, ["_key", "_tail"], "left").select(*dict.fromkeys([*keep, text]), "_ranges")
+    as_is = rows.where("not _maybe").select(*dict.fromkeys([*keep, text]), F.lit(None).cast(cut_.schema["_ranges"].dataType).alias("_ranges"))
+    return cut_.unionByName(as_is).mapInArrow(run, schema)

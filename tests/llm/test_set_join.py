@@ -3,9 +3,10 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from stratalog.llm import set_join
-from stratalog.llm.common import Scratch, components
+from stratalog.llm.common import Scratch, components, marked
 from stratalog.llm.shingles import WordHasher, shingle_sets
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -125,3 +126,43 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 200), (200, 150), (5, 5)]
     got = dict(map(tuple, components(Scratch(spark, "t"), spark.createDataFrame(edges, "a long, b long"), "c").collect()))
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 200: 100, 150: 100}
+
+
+def test_words_that_fool_a_polynomial(spark):
+    """The Thue-Morse word over a and b and its complement collide modulo 2**64 in any base; here they aren't linked."""
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(1 << 12))
+    other = word.translate(str.maketrans("ab", "ba"))
+    df = spark.createDataFrame([(1, word), (2, other), (3, other.upper())], "doc_id long, text string")
+    assert result(df, spark, 4, 85) == [(1, 1, 1), (2, 1, 2), (3, 1, 2)]
+
+
+def test_exact_overlap():
+    rng = random.Random(3)
+    for _ in range(300):
+        a, b = (" ".join(rng.choice("aBbc") for _ in range(rng.randrange(9))) for _ in range(2))
+        s, t = brute_set(a, 4), brute_set(b, 4)
+        assert set_join.exact_overlap(a.encode(), b.encode(), 4) == (len(s), len(t), len(s & t))
+
+
+@pytest.mark.parametrize("block", [1, 3, 512])
+def test_form_letters_in_blocks(spark, monkeypatch, block):
+    """Letters of 50 shared and 30 own words share signatures and aren't linked; near copies among them are. No cell holds more than two blocks."""
+    monkeypatch.setattr(set_join, "BLOCK", block)
+    rng = random.Random(5)
+    form = [f"form{i}" for i in range(50)]
+    rows = [(i, " ".join(form + [f"w{rng.randrange(10**6)}" for _ in range(30)])) for i in range(60)]
+    rows += [(100 + i, rows[i][1] + " end") for i in range(0, 60, 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert result(df, spark, 4, 85) == brute_join(rows, 4, 85)
+    placed = spark.createDataFrame([(1, c, c % 5) for c in range(40)] + [(2, 7, 1), (2, 8, 1)], "sig long, cls long, comp long")
+    cells = set_join.block_cells(placed).collect()
+    assert {r.sig for r in cells} == {1}
+    met = {(a.cls, b.cls) for a in cells for b in cells if (a.one, a.two) == (b.one, b.two) and a.cls < b.cls and (a.one == a.two or a.block != b.block)}
+    assert met == {(a, b) for a in range(40) for b in range(a + 1, 40)}
+
+
+def test_marked_keys_are_never_missed(spark):
+    df = spark.range(20_000).selectExpr("id", "cast(null as int) x", "'s' _other")
+    out = marked(df, F.col("id"), spark.range(0, 20_000, 7).withColumnRenamed("id", "k"), F.col("k"))
+    assert out.columns == [*df.columns, "_maybe"] and out.where("_maybe and id % 7 = 0").count() == 2858
+    assert out.where("_maybe").count() < 2900 and marked(df, F.col("id"), spark.range(0), F.col("id")).where("_maybe").count() == 0

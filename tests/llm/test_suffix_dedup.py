@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from stratalog.llm import suffix_dedup, suffixes
 from stratalog.llm.common import Scratch
@@ -37,8 +38,10 @@ def test_documents(spark, docs):
     assert sum(k[2] for k in want) > 0
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_shared_passages(spark, seed):
+@pytest.mark.parametrize("seed, crowd", [(1, 256), (2, 1), (3, 4)])
+def test_shared_passages(spark, seed, crowd, monkeypatch):
+    """With small crowds the cells of common anchors are cut again, as deep as it goes."""
+    monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
     rng = random.Random(seed)
     word = lambda n: "".join(rng.choice("abcé ") for _ in range(n))
     passages = [word(rng.choice([15, 20, 21, 40, 70])) for _ in range(8)]
@@ -47,6 +50,20 @@ def test_shared_passages(spark, seed):
     check(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 20, 6)
 
 
+def test_a_passage_in_many_texts_is_split(spark):
+    """One passage with other words around it: what crowds an anchor is dealt to other shards, and the result is exact."""
+    rng = random.Random(9)
+    own = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    passage = own(260)
+    texts = [own(rng.randrange(150, 200)) + passage + own(rng.randrange(150, 200)) for _ in range(400)]
+    texts += [own(100) + passage[:-1] + "#" + own(50), own(500)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    check(spark, df, 200, 64)
+    rows = df.select(F.col("doc_id").alias("key"), F.col("doc_id").alias("tail"), F.encode("text", "UTF-8").alias("text"))
+    crowd = lambda depth: suffix_dedup.shared_cells(suffix_dedup.cell_rows(rows, 200, 64, True, depth)).where("shown").groupBy("anchor").count().agg(F.max("count")).first()[0]
+    assert crowd(0) > 256
+
+
 def test_stretches_of_long_texts(spark, monkeypatch):
     rng = random.Random(4)
     monkeypatch.setattr(suffix_dedup, "STRETCH", 97)
