@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalog.llm import mixture, pieces, quality, set_join, suffix_dedup
-from stratalog.llm.common import Scratch, if_small
+from stratalog.llm.common import Scratch, marked
 
 MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 
@@ -33,12 +33,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def one_of_each(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """``docs`` with one of the rows of equal id and text, nulls included. Only rows that may be repeated are shuffled with their texts."""
-    hashed = docs.withColumn("_hash", F.xxhash64("doc_id", "text"))
-    again = scratch.save(hashed.groupBy("_hash").agg(F.count("*").alias("n")).where("n > 1").select("_hash"), "again")
-    if again.isEmpty():
-        return docs
-    one = scratch.save(hashed.join(if_small(again), "_hash", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns), "one")
-    return hashed.join(if_small(again), "_hash", "left_anti").select(*docs.columns).unionByName(one)
+    row = F.xxhash64("doc_id", "text")
+    again = scratch.save(docs.groupBy(row.alias("_hash")).agg(F.count("*").alias("n")).where("n > 1").select("_hash"), "again")
+    rows = marked(docs, row, again, F.col("_hash"))
+    one = scratch.save(rows.where("_maybe").dropDuplicates(["doc_id", "text"]).select(*docs.columns), "one")
+    return rows.where("not _maybe").select(*docs.columns).unionByName(one)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +50,9 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     rows = one_of_each(docs, scratch).withColumn("_row", F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash")))
     groups = set_join.join(rows.select(F.col("_row").alias("doc_id"), "text"), scratch, size=5, percent=80)
     extra = scratch.save(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_row")), "extra")
-    return rows.join(if_small(extra), "_row", "left_anti").select(*docs.columns)
+    rows = marked(rows, F.col("_row"), extra, F.col("_row"))
+    left = rows.where("_maybe").join(extra, "_row", "left_anti").unionByName(rows.where("not _maybe"))
+    return left.select(*docs.columns)
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
