@@ -9,7 +9,7 @@ from __future__ import annotations
 import os
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Fixed values of the block format: header and offset bytes of an entry, trailer of a block, of a file.
@@ -56,10 +56,12 @@ def layout(entries: DataFrame, block_size: int = 1024) -> DataFrame:
 
 
 def block_index(rows: DataFrame) -> DataFrame:
-    """``(fid, block, base, entries, bytes)`` with trailers."""
+    """``(fid, block, base, entries, bytes, offset)`` with trailers; ``offset`` is where a block starts in its file."""
     t = rows.groupBy("fid", "block").agg(F.min_by("key", "offset").alias("base"), F.count("*").alias("entries"), F.sum("bytes").alias("used"))
-    return t.select("fid", "block", "base", "entries", (F.col("used") + OFFSET_BYTES * F.col("entries") + BLOCK_TAIL).alias("bytes"))
+    t = t.select("fid", "block", "base", "entries", (F.col("used") + OFFSET_BYTES * F.col("entries") + BLOCK_TAIL).alias("bytes"))
+    return t.withColumn("offset", F.sum("bytes").over(Window.partitionBy("fid").orderBy("block")) - F.col("bytes"))
 
 
 def data_bytes(index: DataFrame) -> DataFrame:
+    """``(fid, blocks, entries, bytes)`` of whole files, their trailer included."""
     return index.groupBy("fid").agg(F.count("*").alias("blocks"), F.sum("entries").alias("entries"), (F.sum("bytes") + FILE_TAIL).alias("bytes"))

@@ -17,7 +17,7 @@ from ..operators import blocks, cachesim, levels, log, manifest, runs, valuelog
 from . import fixtures as fx
 from .fixtures import ctes
 
-LEVELS = 3
+LEVELS = 7
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -48,9 +48,11 @@ def multi_get_with_misses(s, d):
     return log.multi_get(fx.ev(s, d), fx.read(s, d, "customer").select(F.col("c_custkey").cast("string").alias("key")))
 
 
-@query(ctes("ev") + "SELECT key, seq, value FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS rn FROM ev WHERE seq <= 500) WHERE rn = 1")
+@query(ctes("ev") + "SELECT key, seq, value FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS rn FROM ev WHERE seq <= (SELECT max(seq) // 2 FROM ev)) WHERE rn = 1")
 def snapshot_get(s, d):
-    return log.snapshot(fx.ev(s, d), 500)
+    """As of half of the log."""
+    ev = fx.ev(s, d)
+    return log.snapshot(ev, ev.agg(F.max("seq")).scalar() / 2)
 
 
 @query(
@@ -168,7 +170,7 @@ def file_overlaps(s, d):
 
 SCORES = """scores AS (SELECT l.level, count(id) AS files, CAST(coalesce(sum(size), 0) AS BIGINT) AS bytes,
     CASE WHEN l.level = 0 THEN count(id) / 5.0 ELSE coalesce(sum(size), 0) / (1048576.0 * power(10.0, l.level - 1)) END AS score
-    FROM (SELECT CAST(0 AS INTEGER) AS level UNION ALL SELECT 1 UNION ALL SELECT 2) l LEFT JOIN files ON files.level = l.level GROUP BY l.level)"""
+    FROM (SELECT CAST(unnest(range(7)) AS INTEGER) AS level) l LEFT JOIN files ON files.level = l.level GROUP BY l.level)"""
 
 
 @query(ctes("ev", "runs", "files") + ", " + SCORES + " SELECT level, files, bytes, CAST(round(score * 1000000) AS BIGINT) AS score_ppm FROM scores")
@@ -182,7 +184,7 @@ def level_scores(s, d):
     + ", "
     + SCORES
     + """, top AS (SELECT max(score) AS best FROM scores)
-    SELECT CAST(CASE WHEN best < 0.6 AND (SELECT score FROM scores WHERE level = 2) > 0.5 THEN 2
+    SELECT CAST(CASE WHEN best < 0.6 AND (SELECT score FROM scores WHERE level = 6) > 0.5 THEN 6
         WHEN best < 0.6 AND (SELECT files FROM scores WHERE level = 0) > 2 THEN 0
         WHEN best = 0 THEN 0 ELSE (SELECT min(level) FROM scores WHERE score = best) END AS INTEGER) AS level FROM top"""
 )
@@ -196,7 +198,7 @@ def pick_level(s, d):
     f1 AS (SELECT rid, rl, rh, (SELECT min(smallest || '!' || largest) FROM files WHERE level = 1 AND largest >= rl) AS one,
         (SELECT min(smallest || '!' || largest) FROM files WHERE level = 2 AND largest >= rl) AS two,
         (SELECT count(*) FROM files WHERE level = 0 AND smallest <= rh AND largest >= rl) AS zero FROM r)
-    SELECT rid, CAST(CASE WHEN zero > 0 THEN 0 WHEN one IS NOT NULL AND rh > split_part(one, '!', 1) THEN 0 WHEN two IS NOT NULL AND rh > split_part(two, '!', 1) THEN 1 ELSE 1 END AS INTEGER) AS level FROM f1"""
+    SELECT rid, CAST(CASE WHEN zero > 0 THEN 0 WHEN one IS NOT NULL AND rh > split_part(one, '!', 1) THEN 0 WHEN two IS NOT NULL AND rh > split_part(two, '!', 1) THEN 1 ELSE 2 END AS INTEGER) AS level FROM f1"""
 )
 def flush_level_choice(s, d):
     r = fx.read(s, d, "customer").select(F.col("c_custkey").alias("rid"), F.col("c_custkey").cast("string").alias("low"), F.concat(F.col("c_custkey").cast("string"), F.lit("5")).alias("high"))
@@ -214,7 +216,7 @@ def compaction_inputs_level0(s, d):
     return levels.inputs_level0(f, fx.states(f))
 
 
-@query(ctes("ev", "runs", "files", "states") + ", t AS (SELECT f.id FROM files f JOIN states st ON st.id = f.id AND st.state = 1 WHERE level = 2) SELECT id, 'target' AS role FROM t WHERE (SELECT count(*) FROM t) > 1")
+@query(ctes("ev", "runs", "files", "states") + ", t AS (SELECT f.id FROM files f JOIN states st ON st.id = f.id AND st.state = 1 WHERE level = 6) SELECT id, 'target' AS role FROM t WHERE (SELECT count(*) FROM t) > 1")
 def compaction_inputs_last(s, d):
     f = fx.files(s, d)
     return levels.inputs_last_level(f, fx.states(f), LEVELS)
@@ -235,7 +237,7 @@ def compaction_inputs_middle(s, d):
     ctes("ev", "runs")
     + """, numbered AS (SELECT fid, key, (row_number() OVER (PARTITION BY fid ORDER BY key, seq DESC) - 1) // 16 AS block FROM runs),
     bases AS (SELECT fid, block, min(key) AS base FROM numbered GROUP BY fid, block),
-    p AS (SELECT DISTINCT c_custkey % 10 + 1 AS fid, CAST(c_custkey % 300 AS VARCHAR) AS key FROM customer)
+    p AS (SELECT DISTINCT c_custkey % (SELECT max(fid) FROM runs) + 1 AS fid, CAST(c_custkey % 300 AS VARCHAR) AS key FROM customer)
     SELECT fid, key, coalesce((SELECT min(block) FROM bases b WHERE b.fid = p.fid AND b.base = p.key), (SELECT max(block) FROM bases b WHERE b.fid = p.fid AND b.base < p.key)) AS block FROM p"""
 )
 def block_floor_lookup(s, d):
@@ -244,7 +246,7 @@ def block_floor_lookup(s, d):
     r = fx.runs_of(fx.ev(s, d))
     w = Window.partitionBy("fid").orderBy("key", F.col("seq").desc())
     bases = r.withColumn("block", F.floor((F.row_number().over(w) - 1) / 16).cast("long")).groupBy("fid", "block").agg(F.min("key").alias("base"))
-    probes = fx.read(s, d, "customer").select((F.col("c_custkey") % 10 + 1).alias("fid"), (F.col("c_custkey") % 300).cast("string").alias("key"))
+    probes = fx.read(s, d, "customer").select((F.col("c_custkey") % r.agg(F.max("fid")).scalar() + 1).alias("fid"), (F.col("c_custkey") % 300).cast("string").alias("key"))
     return runs.floor_block(bases, probes)
 
 
@@ -300,19 +302,19 @@ def gc_candidate(s, d):
     return levels.gc_candidate(fx.groups(s, d), f, fx.states(f))
 
 
-@query(ctes("groups") + "SELECT CASE WHEN grp IN (11, 12, 13) THEN 50 ELSE grp END AS grp, string_agg(DISTINCT CAST(vfid AS VARCHAR), ',' ORDER BY CAST(vfid AS VARCHAR)) AS logs FROM grps GROUP BY 1")
+@query(ctes("groups") + "SELECT CASE WHEN grp IN (11, 12, 13) THEN 50 ELSE grp END AS grp, array_to_string(list_sort(list(DISTINCT vfid)), ',') AS logs FROM grps GROUP BY 1")
 def group_merge(s, d):
     t = levels.merge_groups(fx.groups(s, d), [11, 12, 13], 50)
-    return t.select("grp", F.array_join(F.array_sort(F.transform("logs", lambda x: x.cast("string"))), ",").alias("logs"))
+    return t.select("grp", F.array_join(F.transform("logs", lambda x: x.cast("string")), ",").alias("logs"))
 
 
 @query(
     ctes("edits")
     + """, good AS (SELECT * FROM edits WHERE txn < coalesce((SELECT min(txn) FROM edits WHERE NOT complete), 9223372036854775807))
-    SELECT level, id FROM (SELECT *, row_number() OVER (PARTITION BY level, id ORDER BY txn DESC, op DESC, pos DESC) AS rn FROM good) WHERE rn = 1 AND op = 0"""
+    SELECT level, id, size, smallest, largest FROM (SELECT *, row_number() OVER (PARTITION BY level, id ORDER BY txn DESC, op DESC, pos DESC) AS rn FROM good) WHERE rn = 1 AND op = 0"""
 )
 def manifest_replay(s, d):
-    return manifest.replay(fx.edits(s, d)).select("level", "id")
+    return manifest.replay(fx.edits(s, d))
 
 
 @query("SELECT greatest((SELECT max(o_orderkey) FROM orders), 96) + 1 AS next_id")
@@ -341,25 +343,36 @@ def bloom_size(s, d):
     return p.select("p", sketches.bloom_bits_per_key("p").alias("bits"))
 
 
-@query()
+@query(
+    ctes("ev", "runs")
+    + """, asked AS (SELECT DISTINCT c_custkey % (SELECT max(fid) FROM runs) + 1 AS fid, CAST(c_custkey % 700 AS VARCHAR) AS key FROM customer),
+    names AS (SELECT key FROM ev UNION SELECT key FROM asked), """
+    + fx.SQL["hashes"]
+    + """, sized AS (SELECT fid, (greatest(count(DISTINCT key) * 10, 64) + 7) // 8 * 8 AS bits FROM runs GROUP BY fid),
+    spots AS (SELECT DISTINCT r.fid, (hash + i * (hash // 131072 + hash % 131072 * 32768)) % 4294967296 % bits AS spot FROM runs r JOIN hashes h ON h.key = r.key JOIN sized z ON z.fid = r.fid, range(6) t(i)),
+    tried AS (SELECT a.fid, a.key, (hash + i * (hash // 131072 + hash % 131072 * 32768)) % 4294967296 % bits AS spot FROM asked a JOIN hashes h ON h.key = a.key JOIN sized z ON z.fid = a.fid, range(6) t(i))
+    SELECT t.fid, t.key, count(s.spot) = count(*) AS may_contain FROM tried t LEFT JOIN spots s ON s.fid = t.fid AND s.spot = t.spot GROUP BY t.fid, t.key"""
+)
 def bloom_probe(s, d):
+    """Keys that are in a file and keys that aren't."""
     r = fx.runs_of(fx.ev(s, d))
     filters = sketches.bloom_filters(r, "fid", "key", 10)
-    pairs = r.select("fid", "key").distinct().join(filters, "fid")
-    return sketches.probe(pairs, "key", "filter").select("fid", "key", "may_contain")
+    files = r.agg(F.max("fid")).scalar()
+    asked = fx.read(s, d, "customer").select((F.col("c_custkey") % files + 1).alias("fid"), (F.col("c_custkey") % 700).cast("string").alias("key")).distinct()
+    return sketches.probe(asked.join(filters, "fid"), "key", "filter").select("fid", "key", "may_contain")
 
 
-@query(
-    ctes("acc")
-    + """, t AS (SELECT *, lag(pos) OVER (PARTITION BY stream, key ORDER BY pos) AS last, lead(pos) OVER (PARTITION BY stream, key ORDER BY pos) AS nxt FROM acc),
-    dist AS (SELECT a.stream, a.pos, count(*) AS n FROM t a JOIN t b ON a.stream = b.stream AND b.pos > a.last AND b.pos < a.pos AND (b.nxt IS NULL OR b.nxt >= a.pos) WHERE a.last IS NOT NULL GROUP BY a.stream, a.pos)
-    SELECT t.stream, t.pos, t.key, (t.last IS NOT NULL AND coalesce(n, 0) < 60) AS hit FROM t LEFT JOIN dist ON dist.stream = t.stream AND dist.pos = t.pos"""
-)
+LRU = """, t AS (SELECT *, lag(pos) OVER (PARTITION BY stream, key ORDER BY pos) AS last, lead(pos) OVER (PARTITION BY stream, key ORDER BY pos) AS nxt FROM acc),
+    dist AS (SELECT a.stream, a.pos, count(*) AS n FROM t a JOIN t b ON a.stream = b.stream AND b.pos > a.last AND b.pos < a.pos AND (b.nxt IS NULL OR b.nxt >= a.pos) WHERE a.last IS NOT NULL GROUP BY a.stream, a.pos),
+    seen AS (SELECT t.stream, t.pos, t.key, (t.last IS NOT NULL AND coalesce(n, 0) < 60) AS hit FROM t LEFT JOIN dist ON dist.stream = t.stream AND dist.pos = t.pos)"""
+
+
+@query(ctes("acc") + LRU + " SELECT stream, pos, key, hit FROM seen")
 def lru_hits(s, d):
     return cachesim.replay(fx.accesses(s, d), 60, cachesim.LRU)
 
 
-@query()
+@query(ctes("acc") + LRU + " SELECT stream, count(*) AS accesses, count(*) FILTER (hit) AS hits, avg(CAST(hit AS DOUBLE)) AS rate FROM seen GROUP BY stream")
 def lru_hit_rate(s, d):
     return cachesim.hit_rates(cachesim.replay(fx.accesses(s, d), 60, cachesim.LRU))
 
@@ -429,24 +442,28 @@ def next_power(s, d):
     return fx.read(s, d, "orders").select("o_orderkey", codec.next_power_of_2("o_orderkey").alias("power"))
 
 
-@query()
+@query(ctes("ev", "crcs") + "SELECT seq, crc FROM ev JOIN crcs ON crcs.value = ev.value")
 def crc32c(s, d):
     return fx.ev(s, d).select("seq", hashes.crc32c(F.encode("value", "UTF-8")).alias("crc"))
 
 
-@query()
+@query(ctes("ev") + ", names AS (SELECT key FROM ev), " + fx.SQL["hashes"] + " SELECT seq, hash FROM ev JOIN hashes ON hashes.key = ev.key")
 def murmurish_hash(s, d):
     return fx.ev(s, d).select("seq", hashes.hash32(F.encode("key", "UTF-8")).alias("hash"))
 
 
-@query()
+@query(ctes("mixed", "sep", "placed", "cut") + 'SELECT fid, key, seq, CAST(block AS BIGINT) AS block, CAST(overlap AS BIGINT) AS overlap, CAST(start AS BIGINT) AS "offset", CAST(bytes AS BIGINT) AS bytes FROM cut')
 def block_layout(s, d):
     t = fx.separated(s, d)
     size = F.when(F.col("tag") == 1, 1 + F.octet_length("value")).otherwise(13)
     return blocks.layout(t.select("fid", "key", "seq", size.alias("tagged_bytes")))
 
 
-@query()
+@query(
+    ctes("mixed", "sep", "placed", "cut")
+    + """, b AS (SELECT fid, CAST(block AS BIGINT) AS block, any_value(base) AS base, count(*) AS entries, CAST(sum(bytes) + 4 * count(*) + 16 AS BIGINT) AS bytes FROM cut GROUP BY 1, 2)
+    SELECT *, CAST(sum(bytes) OVER (PARTITION BY fid ORDER BY block) - bytes AS BIGINT) AS "offset" FROM b"""
+)
 def block_index(s, d):
     return blocks.block_index(block_layout(s, d))
 
@@ -454,8 +471,7 @@ def block_index(s, d):
 @query(
     ctes("ev", "runs")
     + """, m AS (SELECT fid, min(key) AS base FROM runs GROUP BY fid)
-    SELECT DISTINCT r.fid, r.key, CASE WHEN substr(key, 1, 4) = substr(base, 1, 4) THEN least(4, length(key), length(base)) WHEN substr(key, 1, 3) = substr(base, 1, 3) THEN least(3, length(key), length(base))
-        WHEN substr(key, 1, 2) = substr(base, 1, 2) THEN least(2, length(key), length(base)) WHEN substr(key, 1, 1) = substr(base, 1, 1) THEN 1 ELSE 0 END AS overlap FROM runs r JOIN m ON m.fid = r.fid"""
+    SELECT DISTINCT r.fid, r.key, CAST(list_max(list_filter(range(least(length(key), length(base)) + 1), lambda i: key[:i] = base[:i])) AS INTEGER) AS overlap FROM runs r JOIN m ON m.fid = r.fid"""
 )
 def prefix_overlap(s, d):
     r = fx.runs_of(fx.ev(s, d)).select("fid", "key").distinct()
