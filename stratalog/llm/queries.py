@@ -106,5 +106,35 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_w
 """
 
 
+#: Shared shingles counted pair by pair, and what links reach. The words of a shingle hold no space, so a space parts them.
+JOIN_SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT r, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3])) END AS sh FROM d),
+n AS (SELECT r, len(sh) AS n FROM s),
+g AS (SELECT r, unnest(sh) AS g FROM s),
+hit AS (SELECT a.r AS a, b.r AS b, count(*) AS k FROM g a JOIN g b ON a.g = b.g AND a.r < b.r GROUP BY a.r, b.r),
+link AS (SELECT a, b FROM hit JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+both_ AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT r AS a, r AS b FROM d UNION SELECT reach.a, both_.b FROM reach JOIN both_ ON both_.a = reach.b)
+SELECT d.doc_id, CAST(n.n AS BIGINT) AS n_shingles, c.component_id FROM d JOIN n ON n.r = d.r JOIN (SELECT reach.a, min(doc_id) AS component_id FROM reach JOIN d ON d.r = reach.b GROUP BY reach.a) c ON c.a = d.r
+"""
+
+#: Every 200-byte window by its digest; runs of windows that occur twice, and what they leave. Texts are cut in pieces that overlap only to keep substr cheap.
+CUT_SQL = r"""
+WITH d AS (SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+part AS (SELECT r, spot, substr(h, 2 * spot + 1, 1398) AS p FROM (SELECT r, h, unnest(range(0, length(h) // 2 - 199, 500)) AS spot FROM d WHERE length(h) >= 400)),
+win AS (SELECT r, spot + j AS i, md5_number(substr(p, 2 * j + 1, 400)) AS m FROM (SELECT r, spot, p, unnest(range(least(500, length(p) // 2 - 199))) AS j FROM part)),
+twice AS (SELECT m FROM win GROUP BY m HAVING count(*) > 1),
+hit AS (SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 200 THEN 0 ELSE 1 END AS fresh FROM win WHERE m IN (SELECT m FROM twice)),
+run AS (SELECT r, min(i) AS a, max(i) + 200 AS b FROM (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS k FROM hit) GROUP BY r, k),
+keep AS (SELECT r, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS x, a AS y FROM run UNION ALL SELECT r, max(b), NULL FROM run GROUP BY r),
+left_ AS (SELECT k.r, string_agg(CASE WHEN y IS NULL THEN substr(h, 2 * x + 1) ELSE substr(h, 2 * x + 1, 2 * (y - x)) END, '' ORDER BY x) AS h FROM keep k JOIN d ON d.r = k.r GROUP BY k.r),
+tot AS (SELECT r, sum(b - a) AS gone, count(*) AS n FROM run GROUP BY r)
+SELECT d.doc_id, CAST(length(d.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(t.gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(t.n, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(l.h, d.h))) AS kept_sha256
+FROM d LEFT JOIN tot t ON t.r = d.r LEFT JOIN left_ l ON l.r = d.r
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_quality_rules": RULES_SQL}
+    return {"op2_ngram_jaccard": JOIN_SQL, "op3_suffix_dedup": CUT_SQL, "op8_quality_rules": RULES_SQL}
