@@ -7,10 +7,11 @@ query here pairs files of different levels except those that overlap.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import DEEPEST_FLUSH, LEVEL0_TRIGGER, LEVEL1_BYTES, LEVEL_GROWTH, NORMAL
+from .log import by_range
 
 
 def level_scores(files: DataFrame, levels: int) -> DataFrame:
@@ -40,17 +41,51 @@ def pick_level(files: DataFrame, levels: int) -> DataFrame:
     return top.select(F.when(F.col("best") < 0.6, idle).otherwise(arg).cast("int").alias("level"), "best")
 
 
+def stretches(files: DataFrame, low: str, high: str) -> DataFrame:
+    """``(at, exact, level, id, low)``: which files hold each stretch between neighbouring bounds, and each bound itself.
+
+    All bounds, sorted, part the keys; a file holds those from its first bound to its
+    last.  The bounds are numbered in one window over file metadata (two rows a file),
+    and a file's stretches come from its two numbers, so that files meet none but
+    stretches of their own.
+    """
+    bounds = files.select(F.col(low).alias("at")).union(files.select(F.col(high).alias("at"))).distinct()
+    ranked = bounds.select("at", F.row_number().over(Window.orderBy("at")).alias("rank"))
+    first = ranked.select(F.col("at").alias("_low"), F.col("rank").alias("first"))
+    last = ranked.select(F.col("at").alias("_high"), F.col("rank").alias("last"))
+    held = files.join(first, F.col(low) == F.col("_low")).join(last, F.col(high) == F.col("_high")).where("first <= last")
+    held = held.select("level", "id", F.col(low).alias("low"), "last", F.explode(F.sequence("first", "last")).alias("rank"))
+    kinds = F.when(F.col("rank") < F.col("last"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))
+    return held.join(ranked, "rank").select("at", F.explode(kinds).alias("exact"), "level", "id", "low")
+
+
 def overlaps(files: DataFrame, low: str = "smallest", high: str = "largest") -> DataFrame:
-    """Pairs ``(level, a, b)`` of a level's files whose closed key ranges meet, a < b."""
-    a = files.select("level", F.col("id").alias("a"), F.col(low).alias("la"), F.col(high).alias("ha"))
-    b = files.select("level", F.col("id").alias("b"), F.col(low).alias("lb"), F.col(high).alias("hb"))
-    return a.join(b, "level").where("a < b and la <= hb and lb <= ha").select("level", "a", "b")
+    """Pairs ``(level, a, b)`` of a level's files whose closed key ranges meet, a < b.
+
+    Of two ranges that meet, the one that starts later starts within the other: a file
+    meets those that hold its first bound, so only pairs that overlap are made.
+    """
+    held = stretches(files, low, high).where("exact").select("at", F.col("level").alias("l"), F.col("id").alias("other"))
+    met = files.select("level", "id", F.col(low).alias("at")).join(held, "at").where("level = l and id <> other")
+    return met.select("level", F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
 
 
 def candidate_files(files: DataFrame, keys: DataFrame, low: str = "smallest", high: str = "largest") -> DataFrame:
-    """``(key, level, id, rank)``: files whose range holds the key, in the order a lookup tries them."""
-    found = keys.select("key").distinct().join(files, F.col("key").between(F.col(low), F.col(high)))
-    order = Window.partitionBy("key").orderBy("level", F.when(F.col("level") == 0, -F.col("id")).otherwise(F.lit(0)), low, "id")
+    """``(key, level, id, rank)``: files whose range holds the key, in the order a lookup tries them.
+
+    Keys and file bounds are sorted together by range and the last bound carried along;
+    a key then meets the files of its stretch by equality.
+    """
+    held = stretches(files, low, high)
+    marks = held.select(F.col("at").alias("k")).distinct().withColumn("is_key", F.lit(False))
+    both = by_range(marks.unionByName(keys.select(F.col("key").alias("k")).distinct().withColumn("is_key", F.lit(True))), [F.col("k")])
+    w = Window.partitionBy("part").orderBy("k", "is_key").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    tails = both.groupBy("part").agg(F.max(F.when(~F.col("is_key"), F.col("k"))).alias("tail")).select("part", F.last("tail", ignorenulls=True).over(before).alias("carried"))
+    placed = both.withColumn("mark", F.last(F.when(~F.col("is_key"), F.col("k")), ignorenulls=True).over(w)).where("is_key")
+    placed = placed.join(F.broadcast(tails), "part").select(F.col("k").alias("key"), F.coalesce("mark", "carried").alias("at")).withColumn("exact", F.col("key") == F.col("at"))
+    found = placed.join(held, ["at", "exact"])
+    order = Window.partitionBy("key").orderBy("level", F.when(F.col("level") == 0, -F.col("id")).otherwise(F.lit(0)), "low", "id")
     return found.select("key", "level", "id", F.row_number().over(order).alias("rank"))
 
 
@@ -125,8 +160,3 @@ def merge_groups(groups: DataFrame, merged: list[int], into: int) -> DataFrame:
     moved = groups.withColumn("grp", F.when(F.col("grp").isin(merged), F.lit(into).cast("long")).otherwise(F.col("grp")))
     return moved.groupBy("grp").agg(F.sort_array(F.collect_set("vfid")).alias("logs"))
 
-
-def empty_files(spark: SparkSession) -> DataFrame:
-    from ..model import FILES
-
-    return spark.createDataFrame([], FILES)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ordering import BYTES, sort_columns, version_columns
-from ..model import EmptyKey
+from ..model import EmptyKey, StoreError
 
 
 def latest(log: DataFrame) -> DataFrame:
@@ -101,22 +101,51 @@ def lower_bound(log: DataFrame, bound: str, ordering: str = BYTES) -> DataFrame:
     return log.where(keep).orderBy(*version_columns("key", "seq", ordering)).limit(1)
 
 
+def pinned(df: DataFrame) -> DataFrame:
+    """``df`` written to the session's checkpoint folder, so that every use sees the same partitions.
+
+    The folder is that of ``spark.checkpoint.dir``; only a local session may do without.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise StoreError("spark.checkpoint.dir must name a shared folder")
+        context.setCheckpointDir("/tmp/checkpoints")
+    return df.checkpoint()
+
+
+def by_range(df: DataFrame, order: list[Column]) -> DataFrame:
+    """``df`` dealt by ranges of an order and sorted, with the number of its partition and its place in it: pinned."""
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    return pinned(dealt.withColumn("part", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)))
+
+
+def numbered(df: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
+    """Adds the row numbers 0, 1, 2, ... of an order, without one task that sees all rows.
+
+    Rows are numbered within ranges; the window is over one count for each partition.
+    """
+    rows = by_range(df, order)
+    w = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("start"))
+    return rows.join(F.broadcast(starts), "part").withColumn("_number", F.col("start") + F.col("place")).select(*df.columns, F.col("_number").alias(name))
+
+
 def lower_bounds(log: DataFrame, bounds: DataFrame) -> DataFrame:
     """For each ``bound`` the first key not below it, in byte order, misses as nulls.
 
     Keys and bounds are sorted together by range; a bound's answer is the next key in
-    its partition, or the least key of a later one, from a table of one row a partition.
+    its partition, or the least key of the next partition that has one, from a table of
+    one row a partition.
     """
     keys = log.select(F.col("key").alias("k")).distinct().withColumn("is_key", F.lit(True))
     asked = bounds.select(F.col("bound").alias("k")).distinct().withColumn("is_key", F.lit(False))
-    both = keys.unionByName(asked).repartitionByRange("k").withColumn("part", F.spark_partition_id())
+    both = by_range(keys.unionByName(asked), [F.col("k")])
     w = Window.partitionBy("part").orderBy(F.col("k").desc(), F.col("is_key").desc()).rowsBetween(Window.unboundedPreceding, 0)
     marked = both.withColumn("found", F.last(F.when(F.col("is_key"), F.col("k")), ignorenulls=True).over(w)).where(~F.col("is_key"))
-    heads = both.where("is_key").groupBy("part").agg(F.min("k").alias("head"))
-    open_ = marked.where("found is null").select(F.col("k").alias("bound"), "part")
-    later = open_.join(heads.select(F.col("part").alias("p"), "head"), F.col("p") > F.col("part")).groupBy("bound").agg(F.min("head").alias("key"))
-    closed = marked.where("found is not null").select(F.col("k").alias("bound"), F.col("found").alias("key"))
-    return closed.unionByName(open_.select("bound").join(later, "bound", "left"))
+    later = Window.orderBy(F.col("part").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    heads = both.groupBy("part").agg(F.min(F.when(F.col("is_key"), F.col("k"))).alias("head")).select("part", F.last("head", ignorenulls=True).over(later).alias("next"))
+    return marked.join(F.broadcast(heads), "part").select(F.col("k").alias("bound"), F.coalesce("found", "next").alias("key"))
 
 
 def require_keys(batch: DataFrame) -> DataFrame:
@@ -132,10 +161,9 @@ def valid_keys(batch: DataFrame) -> DataFrame:
 def upsert(log: DataFrame, batch: DataFrame, order: list[Column], base: int | None = None) -> DataFrame:
     """The log with a batch appended; its rows get the numbers after ``base`` in the given order.
 
-    The order's window is the batch's, which one writer submits; a store numbers large
-    batches in partitions (``sources.store``).
+    Rows are numbered by ranges of the order (:func:`numbered`), however large the batch is.
     """
     if base is None:
         base = log.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
-    numbered = batch.withColumn("seq", F.lit(base) + F.row_number().over(Window.orderBy(*order)))
-    return log.select("key", "seq", "value").unionByName(numbered.select("key", "seq", "value"))
+    rows = numbered(batch, order, "_seq").select("key", (F.lit(base + 1) + F.col("_seq")).alias("seq"), "value")
+    return log.select("key", "seq", "value").unionByName(rows)

@@ -1,7 +1,6 @@
 """The queries over versioned logs, each beside the SQL that says the same.
 
-Order can't be seen in a table, so ordered queries give rank columns; their windows
-number rows of one small result.
+Order can't be seen in a table, so ordered queries give rank columns.
 """
 
 from __future__ import annotations
@@ -94,12 +93,12 @@ def lower_bounds_batch(s, d):
 
 @query(ctes("ev", "latest") + "SELECT key, seq, value, row_number() OVER (ORDER BY key) AS place FROM latest WHERE key >= '12' AND key <= '40'")
 def range_scan_bytes(s, d):
-    return log.scan(fx.ev(s, d), "12", "40").withColumn("place", F.row_number().over(fx.rank(sort_columns("key"))).cast("long"))
+    return log.numbered(log.scan(fx.ev(s, d), "12", "40"), sort_columns("key")).withColumn("place", F.col("place") + 1)
 
 
 @query(ctes("ev", "latest") + "SELECT key, seq, value, row_number() OVER (ORDER BY CAST(key AS BIGINT), key) AS place FROM latest WHERE CAST(key AS BIGINT) >= 12 AND CAST(key AS BIGINT) <= 40")
 def range_scan_int(s, d):
-    return log.scan(fx.ev(s, d), "12", "40", INTEGER).withColumn("place", F.row_number().over(fx.rank(sort_columns("key", INTEGER))).cast("long"))
+    return log.numbered(log.scan(fx.ev(s, d), "12", "40", INTEGER), sort_columns("key", INTEGER)).withColumn("place", F.col("place") + 1)
 
 
 @query(
