@@ -126,7 +126,10 @@ def cell_rows(texts: DataFrame, length: int, gram: int, once: bool, seed: int =
                 anchor, row, low, high, cell = cutter.cells(*utf8(batch.column("text")))
                 key, tail, n = batch.column("key").to_numpy()[row], batch.column("tail").to_numpy()[row], np.ones(len(cell), dtype=np.int64)
                 if once:
-                    _, first, n = np.unique(np.stack([anchor, cell], 1), axis=0, return_index=True, return_counts=True) if len(cell) else (None, slice(0), n)
+                    order = np.lexsort((anchor, cell))
+                    anchor, key, tail, low, high, cell = (x[order] for x in (anchor, key, tail, low, high, cell))
+                    first = np.flatnonzero(np.concatenate([[True] * (len(cell) > 0), (cell[1:] != cell[:-1]) | (anchor[1:] != anchor[:-1])]))
+                    n = np.diff(np.concatenate([first, [len(cell)]]))
                     anchor, key, tail, low, high, cell = (x[first] for x in (anchor, key, tail, low, high, cell))
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor.view(np.int64), key, tail, low, high, cell.view(np.int64), n)], names=names)
 
