@@ -38,8 +38,3 @@ def sort_columns(key: str | Column, ordering: str = BYTES) -> list[Column]:
 def version_columns(key: str | Column, seq: str | Column = "seq", ordering: str = BYTES) -> list[Column]:
     """Keys in order, and the versions of a key from new to old."""
     return [*sort_columns(key, ordering), as_column(seq).desc()]
-
-
-def leading_number(key: str | Column) -> Column:
-    """The first eight bytes as a big-endian number."""
-    return F.conv(F.rpad(F.substring(F.hex(F.encode(as_column(key), "UTF-8")), 1, 16), 16, "0"), 16, 10).cast("double")

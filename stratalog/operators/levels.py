@@ -160,3 +160,19 @@ def merge_groups(groups: DataFrame, merged: list[int], into: int) -> DataFrame:
     moved = groups.withColumn("grp", F.when(F.col("grp").isin(merged), F.lit(into).cast("long")).otherwise(F.col("grp")))
     return moved.groupBy("grp").agg(F.sort_array(F.collect_set("vfid")).alias("logs"))
 
+
+
+def drop_groups(groups: DataFrame, gone: list[int]) -> DataFrame:
+    """``(grp, vfid)`` without some groups."""
+    return groups.where(~F.col("grp").isin(gone)) if gone else groups
+
+
+def move_logs(groups: DataFrame, moved: DataFrame) -> DataFrame:
+    """``(grp, vfid)`` after ``moved`` rows ``(vfid, into)``: a value log belongs to one group only."""
+    last = moved.groupBy("vfid").agg(F.max("into").alias("into"))
+    return groups.join(last, "vfid", "left").select(F.coalesce("into", "grp").alias("grp"), "vfid").distinct()
+
+
+def group_of(groups: DataFrame, logs: DataFrame) -> DataFrame:
+    """``(vfid, grp)`` of the asked value logs, misses as null."""
+    return logs.select("vfid").distinct().join(groups.select("vfid", "grp"), "vfid", "left")

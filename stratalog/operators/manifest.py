@@ -37,8 +37,3 @@ def valid_prefix(wal: DataFrame) -> DataFrame:
 def recover(wal: DataFrame) -> DataFrame:
     """The log that valid records of all commit logs make, in the order of (fid, pos)."""
     return valid_prefix(wal).select("key", "seq", "value", "fid", "pos").orderBy("fid", "pos")
-
-
-def file_deletes(edits: DataFrame) -> DataFrame:
-    w = Window.partitionBy("level", "id").orderBy("txn", "op", "pos")
-    return committed(edits).withColumn("turn", F.row_number().over(w))

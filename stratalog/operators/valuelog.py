@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.codec import value_log_record_size, wal_record_size
 from ..model import INLINE, INLINE_LIMIT, POINTER
-from .log import latest
 
 
 def separate(entries: DataFrame, file: str = "fid") -> DataFrame:
@@ -72,7 +71,3 @@ def collect(sst: DataFrame, vlog: DataFrame, new_file: int | Column) -> DataFram
     number = F.lit(new_file) if isinstance(new_file, int) else new_file
     whole = dereference(sst, vlog).withColumn("fid", number.cast("long")).select("fid", "key", "seq", "value")
     return separate(whole).select("fid", "key", "seq", "tag", "pos", "value")
-
-
-def latest_values(sst: DataFrame, vlog: DataFrame) -> DataFrame:
-    return latest(dereference(sst, vlog))

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from stratalog.functions import sketches
+from stratalog.functions import codec, sketches
 from stratalog.functions.hashes import crc32c_many, hash32_many
 from stratalog.functions.ordering import INTEGER, folded, sort_columns
 from stratalog.model import EmptyKey
@@ -263,3 +263,26 @@ def test_blocks(spark):
     bases = blocks.block_index(out).select("fid", "block", "base")
     found = {r.key: r.block for r in runs.floor_block(bases, probes).collect()}
     assert found["user0000"] == 0 and found["a"] is None and found["user00055"] == 0
+
+
+def test_group_algebra(spark):
+    groups = spark.createDataFrame([(1, 10), (1, 11), (2, 12)], "grp long, vfid long")
+    assert {tuple(r) for r in levels.drop_groups(groups, [1]).collect()} == {(2, 12)} and levels.drop_groups(groups, []).count() == 3
+    moved = levels.move_logs(groups, spark.createDataFrame([(11, 2)], "vfid long, into long"))
+    assert {tuple(r) for r in moved.collect()} == {(1, 10), (2, 11), (2, 12)}
+    found = levels.group_of(groups, spark.createDataFrame([(12,), (12,), (99,)], "vfid long"))
+    assert sorted(map(tuple, found.collect()), key=str) == [(12, 2), (99, None)]
+
+
+def test_block_sizes(spark):
+    rows = spark.createDataFrame([(1, f"k{i:03d}", i, 40) for i in range(60)], "fid long, key string, seq long, tagged_bytes int")
+    laid = blocks.layout(rows)
+    index = blocks.block_index(laid).orderBy("block").collect()
+    assert [r.offset for r in index] == [sum(x.bytes for x in index[:i]) for i in range(len(index))] and len(index) > 2
+    assert all(r.bytes <= 1024 for r in index)
+    assert [tuple(r) for r in blocks.data_bytes(blocks.block_index(laid)).collect()] == [(1, len(index), 60, sum(r.bytes for r in index) + 16)]
+
+
+def test_entry_header_and_expiry(spark):
+    row = spark.range(1).select(codec.entry_header(F.lit(2), F.lit(300), F.lit(5), F.lit(127)).alias("h"), codec.expires(60, F.lit(1000)).alias("e")).first()
+    assert bytes(row.h) == bytes([2, 0xAC, 0x02, 5, 127]) and row.e == 1060
