@@ -27,7 +27,11 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, tag: str):
         self.spark = spark
-        base = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SCRATCH
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if base is None:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a shared folder")
+            base = LOCAL_SCRATCH
         self.root = f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
     def path(self, name: str) -> str:
