@@ -60,14 +60,14 @@ class StreamWriter:
 
     def pages(self, packets: list[tuple[bytes, int]], flags: int = 0, last: bool = False) -> Iterator[bytes]:
         """packets: (bytes, granule position at its end)."""
-        lacing, ends = b"", []
+        lacing, ends = bytearray(), []
         for packet, granule in packets:
             lacing += laces(len(packet))
             ends.append((len(lacing), granule))
         body, at, byte, k = b"".join(p for p, _ in packets), 0, 0, 0
         continued = 0
         while at < len(lacing):
-            own = lacing[at : at + 255]
+            own = bytes(lacing[at : at + 255])
             size, granule = sum(own), -1  # -1: no packet ends here
             while k < len(ends) and ends[k][0] <= at + len(own):
                 granule, k = ends[k][1], k + 1

@@ -14,6 +14,7 @@ from __future__ import annotations
 import base64
 import os
 import struct
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -185,6 +186,14 @@ def loaded(data: bytes) -> Codec:
     return Codec(data)
 
 
+@lru_cache(maxsize=2)
+def library(data: bytes):
+    """The sentencepiece library's processor of a model."""
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_proto=data)
+
+
 def codec(data: bytes, threads: int = 1) -> Codec:
     use_threads(threads)
     return loaded(data)
@@ -195,19 +204,27 @@ def read_model(path: str) -> bytes:
         return f.read()
 
 
-def encode(df: DataFrame, model: bytes, text: str = "text", threads: int | None = None, check_round_trip: bool = False) -> DataFrame:
-    """Adds ``ids`` (array of int) and, if asked for, ``round_trip`` (decoding gives the text back); clashing input columns are replaced.
+def checked(text: str, share: int) -> bool:
+    """One text in ``share``, by its CRC-32."""
+    return zlib.crc32(text.encode("utf-8", "surrogatepass")) % share == 0
 
-    ``model`` is the file's content, broadcast once; it is of a fixed size.  Batches are
-    encoded by as many ``threads`` as a task has cores (``spark.task.cpus``) unless it is given.
+
+def encode(df: DataFrame, model: bytes, text: str = "text", threads: int | None = None, check_round_trip: bool = False, parity_share: int = 0) -> DataFrame:
+    """Adds ``ids`` (array of int) and, if asked for, ``round_trip`` (decoding gives the text back) and ``parity``; clashing input columns are replaced.
+
+    ``parity`` says of one text in ``parity_share`` whether the sentencepiece library gives
+    the same ids, and is null for the others.  ``model`` is the file's content, broadcast
+    once; it is of a fixed size.  Batches are encoded by as many ``threads`` as a task has
+    cores (``spark.task.cpus``) unless it is given.
     """
-    made = ["ids", "round_trip"][: 1 + check_round_trip]
+    made = ["ids", *["round_trip"] * check_round_trip, *["parity"] * (parity_share > 0)]
     keep = [c for c in df.columns if c not in made]
     threads = threads or int(df.sparkSession.conf.get("spark.task.cpus", "1"))
     sent = df.sparkSession.sparkContext.broadcast(base64.b64encode(model).decode())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(base64.b64decode(sent.value), threads)
+        theirs = library(base64.b64decode(sent.value)) if parity_share else None
         for batch in batches:
             for low in range(0, batch.num_rows, 256):
                 part = batch.slice(low, 256)
@@ -217,11 +234,16 @@ def encode(df: DataFrame, model: bytes, text: str = "text", threads: int | None
                 cols = [pa.array(ids, type=pa.list_(pa.int32()))]
                 if check_round_trip:
                     cols.append(pa.array([None if x is None else c.decode(i) == x for x, i in zip(texts, ids)], type=pa.bool_()))
+                if parity_share:
+                    same = [theirs.encode(x) == i if x is not None and checked(x, parity_share) else None for x, i in zip(texts, ids)]
+                    cols.append(pa.array(same, type=pa.bool_()))
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), *cols], names=[*keep, *made])
 
     schema = df.select(*keep).schema.add("ids", T.ArrayType(T.IntegerType()))
     if check_round_trip:
         schema = schema.add("round_trip", "boolean")
+    if parity_share:
+        schema = schema.add("parity", "boolean")
     return df.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
 
 
@@ -241,8 +263,6 @@ def decode(df: DataFrame, model: bytes, ids: str = "ids", out: str = "decoded")
 
 def parity(model_path: str, texts: list[str]) -> list[int]:
     """Positions of the texts that the sentencepiece library encodes to other ids."""
-    import sentencepiece
-
     data = read_model(model_path)
-    theirs = sentencepiece.SentencePieceProcessor(model_file=model_path).encode(texts, num_threads=1)
+    theirs = library(data).encode(texts, num_threads=1)
     return [i for i, (a, b) in enumerate(zip(codec(data).encode(texts), theirs)) if a != b]

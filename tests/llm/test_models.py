@@ -203,3 +203,12 @@ def test_bad_model():
         pieces.parse(message((2, message((3, 3)))))
     with pytest.raises((ValueError, IndexError)):
         pieces.parse(b"\x0a\xff")
+
+
+def test_parity_inside_the_query(spark, odd, docs):
+    """One text in some is encoded by the library too; the same texts whatever their rows' order."""
+    some = pieces.encode(docs.select("doc_id", "text"), pieces.read_model(MODEL), parity_share=8)
+    rows = some.collect()
+    assert {r.parity for r in rows} == {True, None} and 0 < sum(r.parity is not None for r in rows) < len(rows) / 4
+    assert all((r.parity is not None) == (r.text is not None and pieces.checked(r.text, 8)) for r in rows)
+    assert all(r.parity in (True, None) for r in pieces.encode(odd, pieces.read_model(MODEL), parity_share=1).collect())
