@@ -96,11 +96,13 @@ def flush_level(files: DataFrame, ranges: DataFrame, levels: int, low: str = "sm
     is met.  Below level 0 only the first file that ends at or after the range's start
     counts, and an end that equals its start doesn't meet it.
     """
+    ends = files.where(F.col("level") <= DEEPEST_FLUSH).select("level", F.col(high).alias("at"), F.col(low).alias("start"), F.lit(0).alias("kind"))
     r = ranges.select("rid", F.col("low").alias("rl"), F.col("high").alias("rh"))
-    zero = r.join(files.where("level = 0"), (F.col("rl") <= F.col(high)) & (F.col("rh") >= F.col(low)), "left_semi").select("rid", F.lit(0).alias("level"))
-    at = r.join(files.where((F.col("level") > 0) & (F.col("level") <= DEEPEST_FLUSH)), F.col(high) >= F.col("rl"))
-    first = at.groupBy("rid", "level").agg(F.min_by(F.struct(F.col(low).alias("s"), "rh"), F.struct(low, high)).alias("f"))
-    met = zero.unionByName(first.where("f.rh > f.s").select("rid", "level"))
+    asked = r.select("rid", "rh", F.explode(F.sequence(F.lit(0), F.lit(DEEPEST_FLUSH))).alias("level"), F.col("rl").alias("at"), F.lit(1).alias("kind"))
+    # From the last end back: the least start so far is that of all files that end at or after a range's start.
+    w = Window.partitionBy("level").orderBy(F.col("at").desc(), "kind").rowsBetween(Window.unboundedPreceding, 0)
+    first = ends.unionByName(asked, allowMissingColumns=True).withColumn("first", F.min("start").over(w)).where("kind = 1")
+    met = first.where(F.when(F.col("level") == 0, F.col("rh") >= F.col("first")).otherwise(F.col("rh") > F.col("first"))).select("rid", "level")
     deepest = min(DEEPEST_FLUSH, max(levels - 2, 0))
     stop = met.groupBy("rid").agg(F.min("level").alias("met"))
     return r.join(stop, "rid", "left").select("rid", F.when(F.col("met").isNull(), deepest).otherwise(F.greatest(F.least(F.col("met") - 1, F.lit(deepest)), F.lit(0))).cast("int").alias("level"))
