@@ -401,6 +401,7 @@ def join(docs: DataFrame, scratch: Scratch, size: int = 5, percent: int = 80, sa
         links = links.unionByName(scratch.save(verify(pairs, texts, size, percent, salt), f"links-{turn}"))
         tested = tested.unionByName(pairs)
     found = components(scratch, links, "whole").select(F.col("node").alias("cls"), "root")
+    scratch.drop("live", "known", "texts", *(f"{name}-{turn}" for name in ("tested", "links") for turn in range(3)))
     reps = found.join(classes.select("cls", "rep"), "cls")
     names = reps.groupBy("root").agg(F.min("rep").alias("least")).join(found, "root").select("cls", "least")
     final = classes.select("cls", "rep").join(names, "cls", "left").select("cls", F.coalesce("least", "rep").alias("component_id"))

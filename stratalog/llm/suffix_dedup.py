@@ -280,6 +280,7 @@ def dedup(docs: DataFrame, scratch: Scratch, text: str = "text", length: int = L
     tail = F.octet_length(body).cast("long") * F.lit(1 << 32) + F.crc32(body)
     long_ = docs.where(F.octet_length(text) >= length).select(key.alias("key"), tail.alias("tail"), body.alias("text"))
     every = scratch.save(repeated_ranges(long_, scratch, length, gram), "every")
+    scratch.drop(*(f"{name}-{depth}" for name in ("shared", "whole", "shown", "ranges", "cells") for depth in range(DEEPEST + 1)))
     by_key = every.groupBy(F.col("key").alias("_key"), F.col("tail").alias("_tail")).agg(F.collect_list(F.struct("low", "high")).alias("_ranges"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
