@@ -23,6 +23,12 @@ components are those of all links.  A bucket is dealt in blocks of some hundred
 each pair of blocks to a task of its own, so that no task holds a bucket; the work still
 grows with the square of a bucket whose classes aren't linked.
 
+Pairs don't: into a bucket of more than ``CROWD`` classes the sets come whole, a cell
+decides its pairs by them, and only links that join what the cell hasn't joined yet leave
+it, fewer than it has classes.  At first a class goes to its largest such bucket only,
+afterwards to all that still hold several components.  These links are verified on words
+too; should one fail, two shingles have one hash, and a turn without whole sets follows.
+
 Texts that are not in question pass a map of marked ids and are never shuffled, at any
 size of the input.
 
@@ -49,6 +55,8 @@ from .shingles import WordHasher, exact_overlap, shingle_sets
 
 BYTES = 1 << 20  # text bytes worked on at once
 BLOCK = 512  # classes of a bucket that a task compares with as many others
+CROWD = 64  # classes of a bucket from which on sets are compared whole
+ROOM = 1 << 21  # tokens of a block of whole sets
 SEGMENT_SALT, SUM_SALT, CLASS_SALT, SKETCH_SALT, SIGN_SALT, CHECK_SALT = (np.uint64(mix_int(300 + i) | 1) for i in range(6))
 
 
@@ -221,6 +229,24 @@ def signature_rows(docs: DataFrame, size: int, percent: int, salt: int = 0) -> D
     return docs.where("doc_id is not null").select("text").mapInArrow(run, "sig long, cls long")
 
 
+def class_sets(texts: DataFrame, size: int, percent: int, salt: int = 0) -> DataFrame:
+    """``(cls, tokens)``: the sorted hashes of a class's set, from ``(cls, text)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        b = SetBuilder(size, percent, salt)
+        for batch in batches:
+            data, offsets = utf8(batch.column("text"))
+            for low, high in pieces(offsets, BYTES):
+                at = offsets[low : high + 1]
+                row, token, n = b.sets(data[at[0] : at[-1]], at - at[0])
+                end = np.cumsum(n)
+                out = pa.RecordBatch.from_arrays([batch.column("cls").slice(low, high - low), pa.array([token[x:y].tobytes() for x, y in zip(end - n, end)], type=pa.binary())], names=["cls", "tokens"])
+                good = b.classes(row, token, n).view(np.int64) == out.column("cls").to_numpy()
+                yield out.filter(pa.array(good))  # an id may have other texts as well
+
+    return texts.mapInArrow(run, "cls long, tokens binary").dropDuplicates(["cls"])
+
+
 def live_buckets(rows: DataFrame) -> DataFrame:
     """``(sig, cls, head)`` of buckets with two classes or more; head is the bucket's smallest class."""
     w = Window.partitionBy("sig").orderBy("cls")
@@ -283,48 +309,65 @@ def possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return fit.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long, gap long")
 
 
-def block_cells(placed: DataFrame) -> DataFrame:
-    """Rows ``(sig, cls, comp, one, two, block)`` of the buckets with several components, from ``(sig, cls, comp)``.
+def block_cells(placed: DataFrame, crowds: DataFrame | None = None) -> DataFrame:
+    """Rows ``(sig, cls, comp, one, two, block, crowd)`` of the buckets with several components, from ``(sig, cls, comp)``.
 
     A bucket's classes are dealt to blocks by hash; each pair of blocks ``one <= two`` is a
-    cell, to which both blocks go.
+    cell, to which both blocks go.  ``crowds`` are ``(sig, least)``: buckets whose sets are
+    compared whole, and how many blocks these need at least.
     """
+    if crowds is None:
+        crowds = placed.sparkSession.createDataFrame([], "sig long, least int")
     mixed = placed.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("held")).where("low <> high")
-    mixed = mixed.select("sig", F.ceil(F.col("held") / BLOCK).cast("int").alias("blocks"))
+    blocks = F.greatest(F.ceil(F.col("held") / BLOCK).cast("int"), "least")
+    mixed = mixed.join(crowds, "sig", "left").select("sig", blocks.alias("blocks"), F.col("least").isNotNull().alias("crowd"))
     rows = placed.join(mixed, "sig").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return rows.select("sig", "cls", "comp", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("two"), "block")
+    return rows.select("sig", "cls", "comp", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("two"), "block", "crowd")
 
 
 def bucket_pairs(rows: DataFrame, n: int, percent: int, every: bool) -> DataFrame:
-    """Pairs of different components in one cell that the sketch allows, from rows ``(sig, one, two, block, cls, comp, n, sketch)``.
+    """Pairs ``(a, b, sure)`` of different components in one cell that the sketch allows, from rows ``(sig, one, two, block, cls, comp, n, sketch, tokens)``.
 
     With ``every`` all of them, else each class's nearest.  Classes of a cell's largest
-    component meet only those of the others.
+    component meet only those of the others.  Where the ``tokens`` are there, these decide:
+    links that join components of the cell, ``sure`` but for equal hashes of shingles.
     """
 
-    def pairs(block: np.ndarray, cls: list[int], comp: np.ndarray, size: np.ndarray, sketch: list[bytes]) -> Iterator[tuple[int, int]]:
+    def linked(a: bytes, b: bytes) -> bool:
+        a, b = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
+        both = len(np.intersect1d(a, b, assume_unique=True))
+        return 100 * both >= percent * (len(a) + len(b) - both)
+
+    def pairs(block: np.ndarray, cls: list[int], comp: np.ndarray, size: np.ndarray, sketch: list[bytes], tokens: list[bytes | None]) -> Iterator[tuple[int, int, bool]]:
         names, count = np.unique(comp, return_counts=True)
         largest = names[count.argmax()]
         cell, place, across = Sketches(sketch, size, percent), np.arange(len(comp)), block.min() != block.max()
+        whole, joined = None not in tokens, comp.copy()
         for i in np.flatnonzero(comp != largest):
-            wanted = comp != comp[i]
+            wanted = joined != joined[i]
             if across:  # pairs within a block have a cell of their own
                 wanted &= block != block[i]
-            if every:
+            if every or whole:
                 wanted &= (comp == largest) | (place > i)
             gap = cell.gaps(sketch[i], int(size[i]), wanted)
             found = np.flatnonzero(gap >= 0)
-            if not every and len(found):
+            if whole:
+                found = found[np.argsort(gap[found], kind="stable")]
+            elif not every and len(found):
                 found = found[[gap[found].argmin()]]
             for j in found:
-                yield (cls[i], cls[j]) if cls[i] < cls[j] else (cls[j], cls[i])
+                if whole:
+                    if joined[i] == joined[j] or not linked(tokens[i], tokens[j]):
+                        continue
+                    joined[joined == joined[j]] = joined[i]
+                yield (min(cls[i], cls[j]), max(cls[i], cls[j]), whole)
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         held: list[tuple] = []
         at = None
         for batch in batches:
-            for sig, one, two, *rest in zip(*(batch.column(c).to_pylist() for c in ("sig", "one", "two", "block", "cls", "comp", "n", "sketch"))):
+            for sig, one, two, *rest in zip(*(batch.column(c).to_pylist() for c in ("sig", "one", "two", "block", "cls", "comp", "n", "sketch", "tokens"))):
                 if at != (sig, one, two):
                     if held:
                         yield held
@@ -334,22 +377,27 @@ def bucket_pairs(rows: DataFrame, n: int, percent: int, every: bool) -> DataFram
             yield held
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: set[tuple[int, int]] = set()
+        out: set[tuple[int, int, bool]] = set()
+
+        def rows_out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.bool_()))], names=["a", "b", "sure"])
+
         for held in cells(batches):
-            block, cls, comp, size, sketch = zip(*held)
+            block, cls, comp, size, sketch, tokens = zip(*held)
             comp = np.array(comp)
             if (comp == comp[0]).all():
                 continue
-            for pair in pairs(np.array(block), list(cls), comp, np.array(size), list(sketch)):
+            for pair in pairs(np.array(block), list(cls), comp, np.array(size), list(sketch), list(tokens)):
                 out.add(pair)
                 if len(out) >= 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in zip(*out)], names=["a", "b"])
+                    yield rows_out()
                     out.clear()
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in zip(*out)], names=["a", "b"])
+            yield rows_out()
 
     cell = ["sig", "one", "two"]
-    return rows.select(*cell, "block", "cls", "comp", "n", "sketch").repartition(n, *cell).sortWithinPartitions(*cell).mapInArrow(run, "a long, b long").distinct()
+    rows = rows.select(*cell, "block", "cls", "comp", "n", "sketch", "tokens").repartition(n, *cell).sortWithinPartitions(*cell)
+    return rows.mapInArrow(run, "a long, b long, sure boolean").groupBy("a", "b").agg(F.max("sure").alias("sure"))
 
 
 def verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int, salt: int = 0) -> DataFrame:
@@ -392,16 +440,28 @@ def join(docs: DataFrame, scratch: Scratch, size: int = 5, percent: int = 80, sa
     near = possible(star, known, percent).groupBy("a").agg(F.min_by(F.col("b"), F.struct("gap", "b")).alias("b"))
     tested = scratch.save(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "tested-0")
     links = scratch.save(verify(tested, texts, size, percent, salt), "links-0")
-    for turn, every in ((1, False), (2, True)):
+    crowds = live.groupBy("sig").agg(F.count("*").alias("held")).where(F.col("held") > CROWD)
+    members = scratch.save(live.select("sig", "cls").join(crowds, "sig").join(known.select("cls", "n"), "cls"), "members")
+    crowds = members.groupBy("sig").agg(F.ceil(F.sum("n") / ROOM).cast("int").alias("least"))
+    first = members.groupBy("cls").agg(F.max(F.struct("held", "sig")).getField("sig").alias("first"))
+    crowd_texts = marked(texts, F.col("cls"), members, F.col("cls")).where("_maybe").join(members.select("cls").distinct(), "cls")
+    sets = scratch.save(class_sets(crowd_texts.select("cls", "text"), size, percent, salt), "sets")
+    turns = [(False, True), (True, True)]
+    for turn, (every, whole) in enumerate(turns, 1):
         found = components(scratch, links, f"part-{turn}").select(F.col("node").alias("cls"), F.col("root").alias("comp"))
         placed = live.select("sig", "cls").join(found, "cls", "left").select("sig", "cls", F.coalesce("comp", "cls").alias("comp"))
-        open_ = block_cells(placed).join(known.select("cls", "n", "sketch"), "cls")
-        pairs = bucket_pairs(open_, partitions(spark), percent, every).join(tested, ["a", "b"], "left_anti")
-        pairs = scratch.save(pairs, f"tested-{turn}")
-        links = links.unionByName(scratch.save(verify(pairs, texts, size, percent, salt), f"links-{turn}"))
-        tested = tested.unionByName(pairs)
+        open_ = block_cells(placed, crowds)
+        if not every:
+            open_ = open_.join(first, "cls", "left").where("not crowd or sig = first")
+        open_ = open_.join(known.select("cls", "n", "sketch"), "cls").join(sets.where(F.lit(whole)).withColumn("crowd", F.lit(True)), ["cls", "crowd"], "left")
+        pairs = bucket_pairs(open_, partitions(spark), percent, every).join(tested.withColumn("old", F.lit(True)), ["a", "b"], "left")
+        pairs = scratch.save(pairs.where("sure or old is null").select("a", "b", "sure"), f"tested-{turn}")
+        true = scratch.save(verify(pairs, texts, size, percent, salt), f"links-{turn}")
+        if not pairs.where("sure").join(true, ["a", "b"], "left_anti").isEmpty():
+            turns.append((True, False))
+        links, tested = links.unionByName(true), tested.unionByName(pairs.select("a", "b"))
     found = components(scratch, links, "whole").select(F.col("node").alias("cls"), "root")
-    scratch.drop("live", "known", "texts", *(f"{name}-{turn}" for name in ("tested", "links") for turn in range(3)))
+    scratch.drop("live", "known", "texts", "members", "sets", *(f"{name}-{turn}" for name in ("tested", "links") for turn in range(len(turns) + 1)))
     reps = found.join(classes.select("cls", "rep"), "cls")
     names = reps.groupBy("root").agg(F.min("rep").alias("least")).join(found, "root").select("cls", "least")
     final = classes.select("cls", "rep").join(names, "cls", "left").select("cls", F.coalesce("least", "rep").alias("component_id"))

@@ -161,6 +161,28 @@ def test_form_letters_in_blocks(spark, monkeypatch, block):
     assert met == {(a, b) for a in range(40) for b in range(a + 1, 40)}
 
 
+def test_pairs_of_a_crowd_do_not_grow_with_its_square(spark, monkeypatch):
+    """80 letters that miss the threshold by two shingles: a sketch can't reject their 3,160 pairs, their whole sets do. Links among them are found, also if one should fail on words."""
+    form = [f"form{i}" for i in range(100)]
+    rows = [(i, " ".join(form + [f"own{i}x{k}" for k in range(9)])) for i in range(80)]
+    rows += [(100 + i, rows[i][1] + f" end{i}") for i in range(0, 80, 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    made, verify = [], set_join.verify
+
+    def counted(pairs, *rest):
+        made.append(pairs.count())
+        return verify(pairs, *rest)
+
+    monkeypatch.setattr(set_join, "CROWD", 16, raising=False)
+    monkeypatch.setattr(set_join, "verify", counted)
+    want = brute_join(rows, 4, 85)
+    assert result(df, spark, 4, 85) == want and len({c for *_, c in want}) == 80
+    assert len(made) == 3 and sum(made) < 3 * len(rows)
+    made.clear()
+    monkeypatch.setattr(set_join, "verify", lambda pairs, *rest: counted(pairs, *rest).limit(0 if len(made) <= 2 else 1 << 30))
+    assert result(df, spark, 4, 85) == want and len(made) == 4
+
+
 def test_marked_keys_are_never_missed(spark):
     df = spark.range(20_000).selectExpr("id", "cast(null as int) x", "'s' _other")
     out = marked(df, F.col("id"), spark.range(0, 20_000, 7).withColumnRenamed("id", "k"), F.col("k"))
