@@ -2,11 +2,11 @@
 
 Suffixes are classified by comparison with their right neighbour; the substrings that
 start at leftmost smaller suffixes are sorted by one induction, named, and sorted
-recursively where names repeat; a second induction yields the whole array in linear
-time.  An induction over a small alphabet handles a bucket of the first symbol at a
-time: what it sends to other buckets keeps its order, so a stable sort by symbol
-places a whole bucket at once.  Over the large alphabets of the recursion it goes
-suffix by suffix.
+as a text of names where these repeat; a second induction yields the whole array.  An
+induction over a small alphabet handles a bucket of the first symbol at a time: what it
+sends to other buckets keeps its order, so a stable sort by symbol places a whole bucket
+at once.  Few names are sorted by recursion, many by doubling the compared prefix, which
+takes as many sorts as the longest repeat has binary digits, each of what is still equal.
 """
 
 from __future__ import annotations
@@ -134,6 +134,25 @@ def name_substrings(t: np.ndarray, ordered: np.ndarray, length: np.ndarray) -> n
     return np.concatenate([[0], np.cumsum(~equal)])
 
 
+def doubled(names: np.ndarray) -> np.ndarray:
+    """The sorted suffixes of a text that ends with its only 0, by ranks of prefixes of 1, 2, 4 and so on symbols."""
+    order = np.argsort(names, kind="stable")
+    key, rank = names[order], np.empty(len(names), dtype=np.int64)
+    suffix, at, step = order, np.arange(len(names)), 1
+    while True:
+        fresh = np.concatenate([[True], key[1:] != key[:-1]])
+        rank[suffix] = np.maximum.accumulate(np.where(fresh, at, 0))
+        at = at[~(fresh & np.concatenate([fresh[1:], [True]]))]
+        if not len(at):
+            return order
+        suffix = order[at]  # equal prefixes don't hold the end, so a symbol follows
+        key = rank[suffix] * len(names) + rank[suffix + step]
+        by = np.argsort(key)
+        key, suffix = key[by], suffix[by]
+        order[at] = suffix
+        step *= 2
+
+
 def suffix_array(text: np.ndarray, symbols: int) -> np.ndarray:
     """Starts of the sorted suffixes of ``text`` (integers from 0 below ``symbols``)."""
     if not len(text):
@@ -162,7 +181,8 @@ def sorted_suffixes(t: np.ndarray, symbols: int) -> np.ndarray:
     if names[-1] + 1 < len(places):
         reduced = np.zeros(n, dtype=np.int64)
         reduced[ordered] = names
-        ordered = places[sorted_suffixes(reduced[places], int(names[-1]) + 1)]
+        few = names[-1] < SMALL_ALPHABET
+        ordered = places[sorted_suffixes(reduced[places], int(names[-1]) + 1) if few else doubled(reduced[places])]
     return induce(t, smaller, ordered, symbols)
 
 

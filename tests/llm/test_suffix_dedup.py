@@ -103,6 +103,17 @@ def test_suffix_array(symbols, monkeypatch):
             assert suffixes.suffix_array(t, symbols).tolist() == want
 
 
+def test_many_names_are_not_sorted_suffix_by_suffix(monkeypatch):
+    """Shards have some hundred thousand names; a Python step for each was half of the query's time in the arrays."""
+    monkeypatch.setattr(suffixes, "induce_by_suffix", None)
+    rng = np.random.default_rng(7)
+    t = rng.integers(1, 100, 20_000)
+    t[12_000:] = t[:8_000]
+    t[8_000:9_000], t[9_000:9_400] = 5, np.tile([3, 9], 200)
+    raw = t.astype(np.uint8).tobytes()
+    assert suffixes.suffix_array(t, 256).tolist() == sorted(range(len(raw)), key=lambda i: raw[i:])
+
+
 def test_common_prefixes():
     rng = np.random.default_rng(1)
     data = rng.integers(97, 99, 400).astype(np.uint8)
