@@ -212,3 +212,9 @@ def test_parity_inside_the_query(spark, odd, docs):
     assert {r.parity for r in rows} == {True, None} and 0 < sum(r.parity is not None for r in rows) < len(rows) / 4
     assert all((r.parity is not None) == (r.text is not None and pieces.checked(r.text, 8)) for r in rows)
     assert all(r.parity in (True, None) for r in pieces.encode(odd, pieces.read_model(MODEL), parity_share=1).collect())
+
+
+def test_the_query_judges_every_text(spark, sf_dir, docs):
+    rows = queries.op4_sentencepiece(spark, sf_dir).collect()
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert len(rows) == docs.count() and all(r.parity is (None if texts[r.doc_id] is None else True) for r in rows)
