@@ -23,11 +23,12 @@ components are those of all links.  A bucket is dealt in blocks of some hundred
 each pair of blocks to a task of its own, so that no task holds a bucket; the work still
 grows with the square of a bucket whose classes aren't linked.
 
-Pairs don't: into a bucket of more than ``CROWD`` classes the sets come whole, a cell
-decides its pairs by them, and only links that join what the cell hasn't joined yet leave
-it, fewer than it has classes.  At first a class goes to its largest such bucket only,
-afterwards to all that still hold several components.  These links are verified on words
-too; should one fail, two shingles have one hash, and a turn without whole sets follows.
+Pairs do far less: of the buckets with more than ``CROWD`` classes each class attends its
+``ATTENDED`` largest with its whole set.  A cell decides its pairs by these, and only links
+that join what the cell hasn't joined yet leave it, fewer than it has classes.  In the
+last turn a pair that attended one bucket isn't made again.  These links are verified on
+words too; should one fail, two shingles have one hash, and a turn without whole sets and
+what they decided follows.
 
 Texts that are not in question pass a map of marked ids and are never shuffled, at any
 size of the input.
@@ -56,6 +57,7 @@ from .shingles import WordHasher, exact_overlap, shingle_sets
 BYTES = 1 << 20  # text bytes worked on at once
 BLOCK = 512  # classes of a bucket that a task compares with as many others
 CROWD = 64  # classes of a bucket from which on sets are compared whole
+ATTENDED = 2  # such buckets to which a class takes its whole set
 ROOM = 1 << 21  # tokens of a block of whole sets
 SEGMENT_SALT, SUM_SALT, CLASS_SALT, SKETCH_SALT, SIGN_SALT, CHECK_SALT = (np.uint64(mix_int(300 + i) | 1) for i in range(6))
 
@@ -327,11 +329,12 @@ def block_cells(placed: DataFrame, crowds: DataFrame | None = None) -> DataFrame
 
 
 def bucket_pairs(rows: DataFrame, n: int, percent: int, every: bool) -> DataFrame:
-    """Pairs ``(a, b, sure)`` of different components in one cell that the sketch allows, from rows ``(sig, one, two, block, cls, comp, n, sketch, tokens)``.
+    """Pairs ``(a, b, sure)`` of different components in one cell that the sketch allows, from rows ``(sig, one, two, block, cls, comp, n, sketch, tokens, went)``.
 
     With ``every`` all of them, else each class's nearest.  Classes of a cell's largest
     component meet only those of the others.  Where the ``tokens`` are there, these decide:
     links that join components of the cell, ``sure`` but for equal hashes of shingles.
+    Classes that ``went`` to one bucket with their tokens make no pair.
     """
 
     def linked(a: bytes, b: bytes) -> bool:
@@ -339,11 +342,12 @@ def bucket_pairs(rows: DataFrame, n: int, percent: int, every: bool) -> DataFram
         both = len(np.intersect1d(a, b, assume_unique=True))
         return 100 * both >= percent * (len(a) + len(b) - both)
 
-    def pairs(block: np.ndarray, cls: list[int], comp: np.ndarray, size: np.ndarray, sketch: list[bytes], tokens: list[bytes | None]) -> Iterator[tuple[int, int, bool]]:
+    def pairs(block: np.ndarray, cls: list[int], comp: np.ndarray, size: np.ndarray, sketch: list[bytes], tokens: list[bytes | None], went: list[list[int] | None]) -> Iterator[tuple[int, int, bool]]:
         names, count = np.unique(comp, return_counts=True)
         largest = names[count.argmax()]
         cell, place, across = Sketches(sketch, size, percent), np.arange(len(comp)), block.min() != block.max()
         whole, joined = None not in tokens, comp.copy()
+        met = [frozenset(x or ()) for x in went]
         for i in np.flatnonzero(comp != largest):
             wanted = joined != joined[i]
             if across:  # pairs within a block have a cell of their own
@@ -352,6 +356,8 @@ def bucket_pairs(rows: DataFrame, n: int, percent: int, every: bool) -> DataFram
                 wanted &= (comp == largest) | (place > i)
             gap = cell.gaps(sketch[i], int(size[i]), wanted)
             found = np.flatnonzero(gap >= 0)
+            if met[i]:
+                found = found[[met[i].isdisjoint(met[j]) for j in found.tolist()]] if len(found) else found
             if whole:
                 found = found[np.argsort(gap[found], kind="stable")]
             elif not every and len(found):
@@ -367,7 +373,7 @@ def bucket_pairs(rows: DataFrame, n: int, percent: int, every: bool) -> DataFram
         held: list[tuple] = []
         at = None
         for batch in batches:
-            for sig, one, two, *rest in zip(*(batch.column(c).to_pylist() for c in ("sig", "one", "two", "block", "cls", "comp", "n", "sketch", "tokens"))):
+            for sig, one, two, *rest in zip(*(batch.column(c).to_pylist() for c in ("sig", "one", "two", "block", "cls", "comp", "n", "sketch", "tokens", "went"))):
                 if at != (sig, one, two):
                     if held:
                         yield held
@@ -383,11 +389,11 @@ def bucket_pairs(rows: DataFrame, n: int, percent: int, every: bool) -> DataFram
             return pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.bool_()))], names=["a", "b", "sure"])
 
         for held in cells(batches):
-            block, cls, comp, size, sketch, tokens = zip(*held)
+            block, cls, comp, size, sketch, tokens, went = zip(*held)
             comp = np.array(comp)
             if (comp == comp[0]).all():
                 continue
-            for pair in pairs(np.array(block), list(cls), comp, np.array(size), list(sketch), list(tokens)):
+            for pair in pairs(np.array(block), list(cls), comp, np.array(size), list(sketch), list(tokens), list(went)):
                 out.add(pair)
                 if len(out) >= 50_000:
                     yield rows_out()
@@ -396,7 +402,7 @@ def bucket_pairs(rows: DataFrame, n: int, percent: int, every: bool) -> DataFram
             yield rows_out()
 
     cell = ["sig", "one", "two"]
-    rows = rows.select(*cell, "block", "cls", "comp", "n", "sketch", "tokens").repartition(n, *cell).sortWithinPartitions(*cell)
+    rows = rows.select(*cell, "block", "cls", "comp", "n", "sketch", "tokens", "went").repartition(n, *cell).sortWithinPartitions(*cell)
     return rows.mapInArrow(run, "a long, b long, sure boolean").groupBy("a", "b").agg(F.max("sure").alias("sure"))
 
 
@@ -443,17 +449,21 @@ def join(docs: DataFrame, scratch: Scratch, size: int = 5, percent: int = 80, sa
     crowds = live.groupBy("sig").agg(F.count("*").alias("held")).where(F.col("held") > CROWD)
     members = scratch.save(live.select("sig", "cls").join(crowds, "sig").join(known.select("cls", "n"), "cls"), "members")
     crowds = members.groupBy("sig").agg(F.ceil(F.sum("n") / ROOM).cast("int").alias("least"))
-    first = members.groupBy("cls").agg(F.max(F.struct("held", "sig")).getField("sig").alias("first"))
     crowd_texts = marked(texts, F.col("cls"), members, F.col("cls")).where("_maybe").join(members.select("cls").distinct(), "cls")
     sets = scratch.save(class_sets(crowd_texts.select("cls", "text"), size, percent, salt), "sets")
+    largest = Window.partitionBy("cls").orderBy(F.desc("held"), "sig")
+    attended = members.join(sets.select("cls"), "cls").withColumn("place", F.row_number().over(largest)).where(F.col("place") <= ATTENDED)
+    attended = scratch.save(attended.select("cls", "sig"), "attended")
+    went = attended.groupBy("cls").agg(F.collect_list("sig").alias("went"))
     turns = [(False, True), (True, True)]
     for turn, (every, whole) in enumerate(turns, 1):
         found = components(scratch, links, f"part-{turn}").select(F.col("node").alias("cls"), F.col("root").alias("comp"))
         placed = live.select("sig", "cls").join(found, "cls", "left").select("sig", "cls", F.coalesce("comp", "cls").alias("comp"))
         open_ = block_cells(placed, crowds)
         if not every:
-            open_ = open_.join(first, "cls", "left").where("not crowd or sig = first")
-        open_ = open_.join(known.select("cls", "n", "sketch"), "cls").join(sets.where(F.lit(whole)).withColumn("crowd", F.lit(True)), ["cls", "crowd"], "left")
+            open_ = open_.join(attended.withColumn("here", F.lit(True)), ["cls", "sig"], "left").where("not crowd or here")
+        open_ = open_.join(known.select("cls", "n", "sketch"), "cls")
+        open_ = open_.join(sets.where(F.lit(not every)).withColumn("crowd", F.lit(True)), ["cls", "crowd"], "left").join(went.where(F.lit(every and whole)), "cls", "left")
         pairs = bucket_pairs(open_, partitions(spark), percent, every).join(tested.withColumn("old", F.lit(True)), ["a", "b"], "left")
         pairs = scratch.save(pairs.where("sure or old is null").select("a", "b", "sure"), f"tested-{turn}")
         true = scratch.save(verify(pairs, texts, size, percent, salt), f"links-{turn}")
@@ -461,7 +471,7 @@ def join(docs: DataFrame, scratch: Scratch, size: int = 5, percent: int = 80, sa
             turns.append((True, False))
         links, tested = links.unionByName(true), tested.unionByName(pairs.select("a", "b"))
     found = components(scratch, links, "whole").select(F.col("node").alias("cls"), "root")
-    scratch.drop("live", "known", "texts", "members", "sets", *(f"{name}-{turn}" for name in ("tested", "links") for turn in range(len(turns) + 1)))
+    scratch.drop("live", "known", "texts", "members", "sets", "attended", *(f"{name}-{turn}" for name in ("tested", "links") for turn in range(len(turns) + 1)))
     reps = found.join(classes.select("cls", "rep"), "cls")
     names = reps.groupBy("root").agg(F.min("rep").alias("least")).join(found, "root").select("cls", "least")
     final = classes.select("cls", "rep").join(names, "cls", "left").select("cls", F.coalesce("least", "rep").alias("component_id"))

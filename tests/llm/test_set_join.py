@@ -162,7 +162,7 @@ def test_form_letters_in_blocks(spark, monkeypatch, block):
 
 
 def test_pairs_of_a_crowd_do_not_grow_with_its_square(spark, monkeypatch):
-    """80 letters that miss the threshold by two shingles: a sketch can't reject their 3,160 pairs, their whole sets do. Links among them are found, also if one should fail on words."""
+    """80 letters that miss the threshold by two shingles: a sketch can't reject their 3,160 pairs, their whole sets do. Links among them are found, also where no head led to them."""
     form = [f"form{i}" for i in range(100)]
     rows = [(i, " ".join(form + [f"own{i}x{k}" for k in range(9)])) for i in range(80)]
     rows += [(100 + i, rows[i][1] + f" end{i}") for i in range(0, 80, 9)]
@@ -179,8 +179,8 @@ def test_pairs_of_a_crowd_do_not_grow_with_its_square(spark, monkeypatch):
     assert result(df, spark, 4, 85) == want and len({c for *_, c in want}) == 80
     assert len(made) == 3 and sum(made) < 3 * len(rows)
     made.clear()
-    monkeypatch.setattr(set_join, "verify", lambda pairs, *rest: counted(pairs, *rest).limit(0 if len(made) <= 2 else 1 << 30))
-    assert result(df, spark, 4, 85) == want and len(made) == 4
+    monkeypatch.setattr(set_join, "verify", lambda pairs, *rest: counted(pairs, *rest).limit(0 if len(made) == 1 else 1 << 30))
+    assert result(df, spark, 4, 85) == want and len(made) == 3 and made[1] >= 9
 
 
 def test_marked_keys_are_never_missed(spark):
