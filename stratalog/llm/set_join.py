@@ -15,20 +15,23 @@ each band, the same for all tables.  Sets that share a signature are candidates;
 parity sketches reject pairs whose symmetric difference must be too large, never one
 within the threshold; what is left is verified on the words of the texts.
 
-Groups of copies never expand into pairs.  Equal sets are one class.  Classes in one
-bucket are first linked to its smallest class, then to their nearest class of another
-component, and last every pair of different components in one bucket that the sketch
-can't reject is verified.  A pair inside a component can't change the result, so the
-components are those of all links.  A bucket is dealt in blocks of some hundred classes,
-each pair of blocks to a task of its own, so that no task holds a bucket; the work still
-grows with the square of a bucket whose classes aren't linked.
-
-Pairs do far less: of the buckets with more than ``CROWD`` classes each class attends its
-``ATTENDED`` largest with its whole set.  A cell decides its pairs by these, and only links
-that join what the cell hasn't joined yet leave it, fewer than it has classes.  In the
-last turn a pair that attended one bucket isn't made again.  These links are verified on
-words too; should one fail, two shingles have one hash, and a turn without whole sets and
-what they decided follows.
+Groups of copies never expand into pairs.  Equal sets are one class.  Pairs of a bucket of
+at most ``LISTED`` classes, and those of any bucket's classes with its smallest, are listed
+once each, however many buckets they share, and what the sketches leave is kept.  Classes
+are first linked to the nearest of these.  Then larger buckets are dealt, once: every pair
+of different components that the sketch can't reject is kept as well.  A pair inside a
+component can't change the result, so the components are those of all links.  A bucket is
+dealt in blocks of some hundred classes, each pair of blocks to a task of its own, so that
+no task holds a bucket; the work still grows with the square of a bucket whose classes
+aren't linked.
+
+Pairs do far less: a class with more than ``CROWD`` pairs in a bucket that the sketch can't
+reject is crowded there, and pairs of two such classes aren't kept.  Each crowded class
+attends at most ``ATTENDED`` of these buckets with its whole set.  A cell decides its pairs
+by these, and only links that join what the cell hasn't joined yet leave it, fewer than it
+has classes.  In the last turn the crowded classes are dealt again, and a pair that attended
+one bucket isn't made.  Links of whole sets are verified on words too; should one fail, two
+shingles have one hash, and a turn without what whole sets decided follows.
 
 Texts that are not in question pass a map of marked ids and are never shuffled, at any
 size of the input.
@@ -56,7 +59,8 @@ from .shingles import WordHasher, exact_overlap, shingle_sets
 
 BYTES = 1 << 20  # text bytes worked on at once
 BLOCK = 512  # classes of a bucket that a task compares with as many others
-CROWD = 64  # classes of a bucket from which on sets are compared whole
+LISTED = 8  # classes of a bucket up to which its pairs are listed one by one
+CROWD = 8  # pairs of a class in a bucket, left by the sketch, from which on sets are compared whole
 ATTENDED = 2  # such buckets to which a class takes its whole set
 ROOM = 1 << 21  # tokens of a block of whole sets
 SEGMENT_SALT, SUM_SALT, CLASS_SALT, SKETCH_SALT, SIGN_SALT, CHECK_SALT = (np.uint64(mix_int(300 + i) | 1) for i in range(6))
@@ -250,12 +254,20 @@ def class_sets(texts: DataFrame, size: int, percent: int, salt: int = 0) -> Data
 
 
 def live_buckets(rows: DataFrame) -> DataFrame:
-    """``(sig, cls, head)`` of buckets with two classes or more; head is the bucket's smallest class."""
+    """``(sig, cls, held, before)`` of buckets with two classes or more.
+
+    ``held`` is the number of the bucket's classes; ``before`` holds the smaller ones if it
+    has at most ``LISTED``, else its smallest.
+    """
     w = Window.partitionBy("sig").orderBy("cls")
-    rows = rows.withColumn("before", F.lag("cls").over(w)).withColumn("after", F.lead("cls").over(w)).withColumn("head", F.first("cls").over(w))
-    fresh = F.col("before").isNull() | (F.col("before") != F.col("cls"))
-    other = (F.col("head") != F.col("cls")) | (F.col("after").isNotNull())
-    return rows.where(fresh & other).select("sig", "cls", "head")
+    rows = rows.withColumn("last", F.lag("cls").over(w)).withColumn("next", F.lead("cls").over(w)).withColumn("head", F.first("cls").over(w))
+    fresh = F.col("last").isNull() | (F.col("last") != F.col("cls"))
+    other = (F.col("head") != F.col("cls")) | (F.col("next").isNotNull())
+    rows = rows.where(fresh & other).select("sig", "cls", "head")  # still with classes that only meet themselves
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.withColumn("held", F.count("*").over(whole).cast("int")).withColumn("less", F.collect_list("cls").over(w.rowsBetween(1 - LISTED, -1)))
+    before = F.when(F.col("held") <= LISTED, F.col("less")).when(F.col("cls") != F.col("head"), F.array("head")).otherwise(F.array().cast("array<bigint>"))
+    return rows.where("held > 1").select("sig", "cls", "held", before.alias("before"))
 
 
 def fold(sketch: np.ndarray, words: int) -> np.ndarray:
@@ -328,72 +340,81 @@ def block_cells(placed: DataFrame, crowds: DataFrame | None = None) -> DataFrame
     return rows.select("sig", "cls", "comp", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("two"), "block", "crowd")
 
 
-def bucket_pairs(rows: DataFrame, n: int, percent: int, every: bool) -> DataFrame:
-    """Pairs ``(a, b, sure)`` of different components in one cell that the sketch allows, from rows ``(sig, one, two, block, cls, comp, n, sketch, tokens, went)``.
+def bucket_pairs(rows: DataFrame, n: int, percent: int) -> DataFrame:
+    """Rows ``(a, b, gap, sig)`` from the classes ``(sig, one, two, block, cls, comp, n, sketch)`` of cells.
+
+    Pairs ``a < b`` of different components in one cell that the sketch allows, without a
+    ``sig``.  Classes of a cell's largest component meet only those of the others.
 
-    With ``every`` all of them, else each class's nearest.  Classes of a cell's largest
-    component meet only those of the others.  Where the ``tokens`` are there, these decide:
-    links that join components of the cell, ``sure`` but for equal hashes of shingles.
-    Classes that ``went`` to one bucket with their tokens make no pair.
+    * With ``tokens`` in the rows, these decide: the pairs are links that join components
+      of the cell, true but for equal hashes of shingles.
+    * With ``went`` in the rows, classes that went to one bucket with their tokens make no pair.
+    * With neither, two classes of more than ``CROWD`` pairs each make no pair; such a class
+      is a row with itself, its number of pairs as ``gap`` and the bucket.
     """
+    extra = [c for c in ("tokens", "went") if c in rows.columns]
 
     def linked(a: bytes, b: bytes) -> bool:
         a, b = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
         both = len(np.intersect1d(a, b, assume_unique=True))
         return 100 * both >= percent * (len(a) + len(b) - both)
 
-    def pairs(block: np.ndarray, cls: list[int], comp: np.ndarray, size: np.ndarray, sketch: list[bytes], tokens: list[bytes | None], went: list[list[int] | None]) -> Iterator[tuple[int, int, bool]]:
+    def pairs(sig: int, block: np.ndarray, cls: list[int], comp: np.ndarray, size: np.ndarray, sketch: list[bytes], *more: list) -> Iterator[tuple[int, int, int, int | None]]:
         names, count = np.unique(comp, return_counts=True)
         largest = names[count.argmax()]
         cell, place, across = Sketches(sketch, size, percent), np.arange(len(comp)), block.min() != block.max()
-        whole, joined = None not in tokens, comp.copy()
-        met = [frozenset(x or ()) for x in went]
+        joined, met = comp.copy(), [frozenset(x or ()) for x in more[0]] if extra == ["went"] else None
+        many, kept = np.zeros(len(comp), dtype=np.int64), []
         for i in np.flatnonzero(comp != largest):
-            wanted = joined != joined[i]
+            wanted = (joined != joined[i]) & ((comp == largest) | (place > i))
             if across:  # pairs within a block have a cell of their own
                 wanted &= block != block[i]
-            if every or whole:
-                wanted &= (comp == largest) | (place > i)
             gap = cell.gaps(sketch[i], int(size[i]), wanted)
             found = np.flatnonzero(gap >= 0)
-            if met[i]:
-                found = found[[met[i].isdisjoint(met[j]) for j in found.tolist()]] if len(found) else found
-            if whole:
-                found = found[np.argsort(gap[found], kind="stable")]
-            elif not every and len(found):
-                found = found[[gap[found].argmin()]]
-            for j in found:
-                if whole:
-                    if joined[i] == joined[j] or not linked(tokens[i], tokens[j]):
-                        continue
+            if met and met[i] and len(found):
+                found = found[[met[i].isdisjoint(met[j]) for j in found.tolist()]]
+            if extra != ["tokens"]:
+                many[i] += len(found)
+                many[found] += 1
+                kept.append((i, found, gap[found]))
+                continue
+            for j in found[np.argsort(gap[found], kind="stable")]:
+                if joined[i] != joined[j] and linked(more[0][i], more[0][j]):
                     joined[joined == joined[j]] = joined[i]
-                yield (min(cls[i], cls[j]), max(cls[i], cls[j]), whole)
-
-    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+                    yield (min(cls[i], cls[j]), max(cls[i], cls[j]), int(gap[j]), None)
+        crowded = many > (CROWD if not extra else len(comp))
+        for i, found, gap in kept:
+            on = ~(crowded[i] & crowded[found])
+            for j, g in zip(found[on].tolist(), gap[on].tolist()):
+                yield (min(cls[i], cls[j]), max(cls[i], cls[j]), g, None)
+        for i in np.flatnonzero(crowded):
+            yield (cls[i], cls[i], int(many[i]), sig)
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
         held: list[tuple] = []
         at = None
         for batch in batches:
-            for sig, one, two, *rest in zip(*(batch.column(c).to_pylist() for c in ("sig", "one", "two", "block", "cls", "comp", "n", "sketch", "tokens", "went"))):
+            for sig, one, two, *rest in zip(*(batch.column(c).to_pylist() for c in ("sig", "one", "two", "block", "cls", "comp", "n", "sketch", *extra))):
                 if at != (sig, one, two):
                     if held:
-                        yield held
+                        yield at[0], held
                     at, held = (sig, one, two), []
                 held.append(rest)
         if held:
-            yield held
+            yield at[0], held
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: set[tuple[int, int, bool]] = set()
+        out: set[tuple[int, int, int, int | None]] = set()
 
         def rows_out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.bool_()))], names=["a", "b", "sure"])
+            return pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in zip(*out)], names=["a", "b", "gap", "sig"])
 
-        for held in cells(batches):
-            block, cls, comp, size, sketch, tokens, went = zip(*held)
+        for sig, held in cells(batches):
+            block, cls, comp, size, sketch, *more = zip(*held)
             comp = np.array(comp)
             if (comp == comp[0]).all():
                 continue
-            for pair in pairs(np.array(block), list(cls), comp, np.array(size), list(sketch), list(tokens), list(went)):
+            for pair in pairs(sig, np.array(block), list(cls), comp, np.array(size), list(sketch), *more):
                 out.add(pair)
                 if len(out) >= 50_000:
                     yield rows_out()
@@ -402,8 +423,8 @@ def bucket_pairs(rows: DataFrame, n: int, percent: int, every: bool) -> DataFram
             yield rows_out()
 
     cell = ["sig", "one", "two"]
-    rows = rows.select(*cell, "block", "cls", "comp", "n", "sketch", "tokens", "went").repartition(n, *cell).sortWithinPartitions(*cell)
-    return rows.mapInArrow(run, "a long, b long, sure boolean").groupBy("a", "b").agg(F.max("sure").alias("sure"))
+    rows = rows.select(*cell, "block", "cls", "comp", "n", "sketch", *extra).repartition(n, *cell).sortWithinPartitions(*cell)
+    return rows.mapInArrow(run, "a long, b long, gap long, sig long")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int, salt: int = 0) -> DataFrame:
@@ -430,6 +451,29 @@ def verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int, salt: in
     return one.join(two, ["a", "b"]).select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def class_texts(docs: DataFrame, known: DataFrame, wanted: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """``(cls, text)`` of the wanted classes, a text for each row of their smallest id."""
+    reps = scratch.save(known.select("cls", "rep").join(wanted.select("cls").distinct(), "cls"), f"{name}-reps")
+    some = marked(docs.select("doc_id", "text"), F.col("doc_id"), reps, F.col("rep")).where("_maybe")
+    return scratch.save(some.join(reps, F.col("doc_id") == F.col("rep")).select("cls", "text"), name)
+
+
+def sides(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls")))
+
+
+def apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+    """The pairs whose classes are in different components; a class not in ``(cls, comp)`` is its own."""
+    for c in ("a", "b"):
+        pairs = pairs.join(comps.select(F.col("cls").alias(c), F.col("comp").alias(f"_{c}")), c, "left")
+    return pairs.where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).drop("_a", "_b")
+
+
+def nearest(pairs: DataFrame) -> DataFrame:
+    """Of ``(a, b, gap)`` the pair of each ``b`` with its nearest ``a``."""
+    return pairs.groupBy("b").agg(F.min_by(F.col("a"), F.struct("gap", "a")).alias("a")).select("a", "b")
+
+
 def join(docs: DataFrame, scratch: Scratch, size: int = 5, percent: int = 80, salt: int = 0) -> DataFrame:
     """``(doc_id, n_shingles, component_id)``: the smallest id that links of ``percent`` Jaccard similarity reach, itself included."""
     spark = scratch.spark
@@ -440,38 +484,52 @@ def join(docs: DataFrame, scratch: Scratch, size: int = 5, percent: int = 80, sa
         raise ValueError("two different sets have one hash: join with another salt")
     live = scratch.save(live_buckets(signature_rows(docs, size, percent, salt)), "live")
     known = scratch.save(live.select("cls").distinct().join(classes.drop("low", "high"), "cls"), "known")
-    some_texts = marked(docs.select("doc_id", "text"), F.col("doc_id"), known, F.col("rep")).where("_maybe")
-    texts = scratch.save(some_texts.join(known.select("cls", "rep"), F.col("doc_id") == F.col("rep")).select("cls", "text"), "texts")
-    star = live.where("cls <> head").select(F.col("cls").alias("a"), F.col("head").alias("b")).distinct()
-    near = possible(star, known, percent).groupBy("a").agg(F.min_by(F.col("b"), F.struct("gap", "b")).alias("b"))
-    tested = scratch.save(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "tested-0")
+    listed = live.select(F.explode("before").alias("a"), F.col("cls").alias("b")).distinct()
+    fit = scratch.save(possible(listed, known, percent), "fit")
+    tested = scratch.save(nearest(fit), "tested-0")
+    texts = class_texts(docs, known, sides(tested), scratch, "texts-0")
     links = scratch.save(verify(tested, texts, size, percent, salt), "links-0")
-    crowds = live.groupBy("sig").agg(F.count("*").alias("held")).where(F.col("held") > CROWD)
-    members = scratch.save(live.select("sig", "cls").join(crowds, "sig").join(known.select("cls", "n"), "cls"), "members")
-    crowds = members.groupBy("sig").agg(F.ceil(F.sum("n") / ROOM).cast("int").alias("least"))
-    crowd_texts = marked(texts, F.col("cls"), members, F.col("cls")).where("_maybe").join(members.select("cls").distinct(), "cls")
-    sets = scratch.save(class_sets(crowd_texts.select("cls", "text"), size, percent, salt), "sets")
-    largest = Window.partitionBy("cls").orderBy(F.desc("held"), "sig")
-    attended = members.join(sets.select("cls"), "cls").withColumn("place", F.row_number().over(largest)).where(F.col("place") <= ATTENDED)
-    attended = scratch.save(attended.select("cls", "sig"), "attended")
+
+    def comps(tag: str) -> DataFrame:
+        return components(scratch, links, tag).select(F.col("node").alias("cls"), F.col("root").alias("comp"))
+
+    def cells(rows: DataFrame, found: DataFrame, least: DataFrame | None = None) -> DataFrame:
+        placed = rows.select("sig", "cls").join(found, "cls", "left").select("sig", "cls", F.coalesce("comp", "cls").alias("comp"))
+        return block_cells(placed, least).join(known.select("cls", "n", "sketch"), "cls")
+
+    found = comps("part-1")
+    dealt = scratch.save(bucket_pairs(cells(live.where(F.col("held") > LISTED), found), partitions(spark), percent), "dealt")
+    marks = scratch.save(dealt.where("sig is not null").select("sig", F.col("a").alias("cls")).distinct(), "marks")
+    fullest = Window.partitionBy("cls").orderBy(F.desc("held"), "sig")
+    counted = marks.join(marks.groupBy("sig").agg(F.count("*").alias("held")), "sig")
+    attended = scratch.save(counted.withColumn("place", F.row_number().over(fullest)).where(F.col("place") <= ATTENDED).select("cls", "sig"), "attended")
     went = attended.groupBy("cls").agg(F.collect_list("sig").alias("went"))
-    turns = [(False, True), (True, True)]
-    for turn, (every, whole) in enumerate(turns, 1):
-        found = components(scratch, links, f"part-{turn}").select(F.col("node").alias("cls"), F.col("root").alias("comp"))
-        placed = live.select("sig", "cls").join(found, "cls", "left").select("sig", "cls", F.coalesce("comp", "cls").alias("comp"))
-        open_ = block_cells(placed, crowds)
-        if not every:
-            open_ = open_.join(attended.withColumn("here", F.lit(True)), ["cls", "sig"], "left").where("not crowd or here")
-        open_ = open_.join(known.select("cls", "n", "sketch"), "cls")
-        open_ = open_.join(sets.where(F.lit(not every)).withColumn("crowd", F.lit(True)), ["cls", "crowd"], "left").join(went.where(F.lit(every and whole)), "cls", "left")
-        pairs = bucket_pairs(open_, partitions(spark), percent, every).join(tested.withColumn("old", F.lit(True)), ["a", "b"], "left")
-        pairs = scratch.save(pairs.where("sure or old is null").select("a", "b", "sure"), f"tested-{turn}")
+    left = fit.unionByName(dealt.where("sig is null").select("a", "b", "gap")).groupBy("a", "b").agg(F.min("gap").alias("gap")).join(tested, ["a", "b"], "left_anti")
+    left = scratch.save(apart(left, found), "left")
+    rest = left.join(went.select(F.col("cls").alias("a"), F.col("went").alias("_x")), "a", "left").join(went.select(F.col("cls").alias("b"), F.col("went").alias("_y")), "b", "left")
+    rest = scratch.save(rest.where("not coalesce(arrays_overlap(_x, _y), false)").select("a", "b", "gap"), "rest")
+    texts = class_texts(docs, known, sides(left).unionByName(marks.select("cls")), scratch, "texts-1")
+    crowd_texts = texts.join(attended.select("cls").distinct(), "cls")
+    sets = scratch.save(class_sets(crowd_texts.select("cls", "text"), size, percent, salt), "sets")
+    room = attended.join(known.select("cls", "n"), "cls").groupBy("sig").agg(F.ceil(F.sum("n") / ROOM).cast("int").alias("least"))
+    for turn in (1, 2, 3):
+        if turn == 1:
+            made = bucket_pairs(cells(attended, found, room).join(sets, "cls"), partitions(spark), percent).select("a", "b").distinct().withColumn("sure", F.lit(True))
+            pairs = nearest(rest).join(made, ["a", "b"], "left_anti").withColumn("sure", F.lit(False)).unionByName(made)
+        else:
+            found = comps(f"part-{turn}")
+            known_to_meet = went if turn == 2 else went.where("false")
+            made = bucket_pairs(cells(marks, found).join(known_to_meet, "cls", "left"), partitions(spark), percent).select("a", "b")
+            pairs = apart(rest if turn == 2 else left, found).select("a", "b").unionByName(made).distinct().join(tested, ["a", "b"], "left_anti").withColumn("sure", F.lit(False))
+        pairs = scratch.save(pairs.select("a", "b", "sure"), f"tested-{turn}")
         true = scratch.save(verify(pairs, texts, size, percent, salt), f"links-{turn}")
-        if not pairs.where("sure").join(true, ["a", "b"], "left_anti").isEmpty():
-            turns.append((True, False))
+        if turn == 1:
+            again = not pairs.where("sure").join(true, ["a", "b"], "left_anti").isEmpty()
         links, tested = links.unionByName(true), tested.unionByName(pairs.select("a", "b"))
+        if turn == 2 and not again:
+            break
     found = components(scratch, links, "whole").select(F.col("node").alias("cls"), "root")
-    scratch.drop("live", "known", "texts", "members", "sets", "attended", *(f"{name}-{turn}" for name in ("tested", "links") for turn in range(len(turns) + 1)))
+    scratch.drop("live", "known", "fit", "dealt", "marks", "attended", "left", "rest", "sets", *(f"{name}-{k}" for name in ("texts", "tested", "links") for k in range(turn + 1)), "texts-0-reps", "texts-1-reps")
     reps = found.join(classes.select("cls", "rep"), "cls")
     names = reps.groupBy("root").agg(F.min("rep").alias("least")).join(found, "root").select("cls", "least")
     final = classes.select("cls", "rep").join(names, "cls", "left").select("cls", F.coalesce("least", "rep").alias("component_id"))

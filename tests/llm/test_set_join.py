@@ -188,3 +188,22 @@ def test_marked_keys_are_never_missed(spark):
     out = marked(df, F.col("id"), spark.range(0, 20_000, 7).withColumnRenamed("id", "k"), F.col("k"))
     assert out.columns == [*df.columns, "_maybe"] and out.where("_maybe and id % 7 = 0").count() == 2858
     assert out.where("_maybe").count() < 2900 and marked(df, F.col("id"), spark.range(0), F.col("id")).where("_maybe").count() == 0
+
+
+def test_small_buckets_are_listed_and_copies_make_none(spark, monkeypatch):
+    """Eight letters share signatures and aren't linked: their pairs are listed, and no bucket is dealt. Copies of one class are no bucket."""
+    rows = spark.createDataFrame([(1, 5), (1, 5), (2, 5), (2, 6), (2, 6), (3, 7)], "sig long, cls long")
+    assert {(r.sig, r.cls) for r in set_join.live_buckets(rows).collect()} == {(2, 5), (2, 6)}
+    form = [f"form{i}" for i in range(100)]
+    rows = [(i, " ".join(form + [f"own{i}x{k}" for k in range(9)])) for i in range(7)]
+    rows += [(10, rows[3][1] + " end")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    dealt, bucket_pairs = [], set_join.bucket_pairs
+
+    def counted(cells, *rest):
+        dealt.append(cells.count())
+        return bucket_pairs(cells, *rest)
+
+    monkeypatch.setattr(set_join, "bucket_pairs", counted)
+    assert result(df, spark, 4, 85) == brute_join(rows, 4, 85)
+    assert dealt and not any(dealt)
