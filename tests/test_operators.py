@@ -151,6 +151,32 @@ def test_levels(spark):
     assert levels.inputs_middle(f, states, 1, None).count() == 0
 
 
+def shuffled(df):
+    """The most rows that an exchange of the executed plan wrote."""
+    rows, todo = [0], [df._jdf.queryExecution().executedPlan()]
+    df.collect()
+    while todo:
+        node = todo.pop()
+        name = node.getClass().getSimpleName()
+        todo += [node.executedPlan()] if name == "AdaptiveSparkPlanExec" else [node.plan()] if name.endswith("QueryStageExec") else [node.children().apply(i) for i in range(node.children().size())]
+        if name == "ShuffleExchangeExec":
+            rows.append(node.metrics().apply("shuffleRecordsWritten").value())
+    return max(rows)
+
+
+def test_candidates_are_not_shuffled(spark, monkeypatch):
+    """Every file holds every key: 40 files and 300 keys, in one group or several, and nothing of the size of their pairs is dealt."""
+    f = spark.range(40).selectExpr("int(id % 4) level", "id", "1L size", "'a' || lpad(id, 2, '0') smallest", "'y' || id largest")
+    keys = spark.range(300).selectExpr("'k' || id key")
+    for most in (7, 4096):
+        monkeypatch.setattr(levels, "GROUP", most, raising=False)
+        out = levels.candidate_files(f, keys)
+        rows = out.collect()
+        want = [(level, i) for level in range(4) for i in sorted(range(level, 40, 4), reverse=level == 0)]
+        assert len(rows) == 300 * 40 and {(r.level, r.id, r["rank"]) for r in rows} == {(*x, n + 1) for n, x in enumerate(want)}
+    assert 0 < shuffled(out) < 1000
+
+
 def test_gc_planning(spark):
     groups = spark.createDataFrame([(1, 7), (2, 8), (2, 9), (3, 10), (3, 11)], "grp long, vfid long")
     files = spark.createDataFrame([(0, 1), (0, 2), (0, 3)], "level int, id long")
