@@ -152,15 +152,20 @@ def test_levels(spark):
 
 
 def shuffled(df):
-    """The most rows that an exchange of the executed plan wrote."""
-    rows, todo = [0], [df._jdf.queryExecution().executedPlan()]
-    df.collect()
-    while todo:
-        node = todo.pop()
-        name = node.getClass().getSimpleName()
-        todo += [node.executedPlan()] if name == "AdaptiveSparkPlanExec" else [node.plan()] if name.endswith("QueryStageExec") else [node.children().apply(i) for i in range(node.children().size())]
-        if name == "ShuffleExchangeExec":
-            rows.append(node.metrics().apply("shuffleRecordsWritten").value())
+    """The most rows that an exchange of the plan writes, without adaptive execution, which leaves exchanges out where little data is in one partition."""
+    conf, rows = df.sparkSession.conf, [0]
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        again = df.select("*")
+        again.collect()
+        todo = [again._jdf.queryExecution().executedPlan()]
+        while todo:
+            node = todo.pop()
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+            if node.getClass().getSimpleName() == "ShuffleExchangeExec":
+                rows.append(node.metrics().apply("shuffleRecordsWritten").value())
+    finally:
+        conf.unset("spark.sql.adaptive.enabled")
     return max(rows)
 
 
@@ -177,6 +182,17 @@ def test_candidates_are_not_shuffled(spark, monkeypatch):
     assert 0 < shuffled(out) < 1000
 
 
+def test_overlaps_are_not_shuffled(spark, monkeypatch):
+    """150 files of a level that all meet, and one of another: each pair once, and nothing of the size of the pairs is dealt."""
+    f = spark.range(150).selectExpr("1 level", "id", "1L size", "'a' || id % 50 smallest", "'y' || id largest")
+    f = f.unionByName(spark.createDataFrame([(2, 500, 1, "a", "z")], f.schema))
+    for size in (7, 1024):
+        monkeypatch.setattr(levels, "BLOCK", size, raising=False)
+        out = levels.overlaps(f)
+        assert sorted(map(tuple, out.collect())) == [(1, a, b) for a in range(150) for b in range(a + 1, 150)]
+    assert 0 < shuffled(out) < 1000
+
+
 def test_gc_planning(spark):
     groups = spark.createDataFrame([(1, 7), (2, 8), (2, 9), (3, 10), (3, 11)], "grp long, vfid long")
     files = spark.createDataFrame([(0, 1), (0, 2), (0, 3)], "level int, id long")
