@@ -8,9 +8,9 @@ each stream is replayed in order by one task, streams in parallel.
 from __future__ import annotations
 
 from collections import OrderedDict
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -136,15 +136,24 @@ class WindowTinyLFU:
 
 
 def replay(accesses: DataFrame, capacity: int, policy: Callable[[int], object]) -> DataFrame:
-    """Adds ``hit`` by replaying each stream in order."""
+    """Adds ``hit`` by replaying each stream in order.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        cache = policy(capacity)
-        return pdf.assign(hit=[cache.access(k) for k in pdf["key"]])
+    Streams are sorted by Spark, which spills, and pass through Python batch by batch:
+    it holds one cache and one batch, however long a stream is.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache, current = None, None
+        for batch in batches:
+            hits = []
+            for stream, key in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                if cache is None or stream != current:
+                    cache, current = policy(capacity), stream
+                hits.append(cache.access(key))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hits, pa.bool_())], names=[*batch.schema.names, "hit"])
 
     rows = accesses.select("stream", "pos", "key")
-    return rows.groupBy("stream").applyInPandas(run, StructType([*rows.schema.fields, StructField("hit", BooleanType())]))
+    return rows.repartition("stream").sortWithinPartitions("stream", "pos").mapInArrow(run, StructType([*rows.schema.fields, StructField("hit", BooleanType())]))
 
 
 def hit_rates(hits: DataFrame) -> DataFrame:

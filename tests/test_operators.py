@@ -291,6 +291,35 @@ def test_caches(spark):
     assert sum(flood[0].access(str(i % 1000)) for i in range(5000)) == 0
 
 
+def test_replay_holds_a_batch(spark):
+    """No frame in the worker is longer than a batch, and batches don't cut a stream's cache."""
+
+    class Watch(cachesim.LRU):
+        def access(self, key):
+            import gc
+
+            import pandas
+
+            hit = super().access(key)
+            if key == "first" and any(isinstance(x, pandas.DataFrame) and len(x) > 50 for x in gc.get_objects()):
+                raise MemoryError("a whole stream is held")
+            return hit
+
+    rows = [(s, i, "first" if i == 0 else f"k{i * i % 37}") for s in (0, 1, 2, None) for i in range(400)]
+    random.Random(1).shuffle(rows)
+    df = spark.createDataFrame(rows, "stream long, pos long, key string").repartition(3)
+    want = []
+    for s in (0, 1, 2, None):
+        cache = cachesim.LRU(8)
+        want += [(s, i, k, cache.access(k)) for _, i, k in sorted((r for r in rows if r[0] == s), key=lambda r: r[1])]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        got = [tuple(r) for r in cachesim.replay(df, 8, Watch).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
 def test_blocks(spark):
     rows = [(1, f"user{i:04d}", i, 6) for i in range(100)] + [(2, "one", 1, 5)]
     out = blocks.layout(spark.createDataFrame(rows, "fid long, key string, seq long, tagged_bytes int"), 256).cache()
